@@ -28,40 +28,28 @@ SYMBOLS = r"[#*$%&|<>]"
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "de", "la", "le", "les", "et", "des", "un", "une", "der", "die", "das", "und", "ist", "den", "von", "zu", "el", "los", "las", "que", "en", "es", "del", "con")
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that the text holds twice or more.
+def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts per document; one narrow pass, no shuffle.
 
-    Windows are keyed by hash; only a text with a repeated key pays for the sort
-    that finds where the repeats lie.
+    Windows of three words are keyed by hash; only a text with a repeated key
+    pays for the sort that finds where the repeats lie. Every array that is
+    used twice is a column of its own, so that no plan evaluates it twice.
     """
-    n = F.size(words)
-    keys = F.when(
-        n >= 3,
-        F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    return keys
-
-
-def _covered(keys: Column) -> Column:
-    """Positions covered by windows whose key occurs more than once."""
-    ranked = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-    size = F.size(keys)
-    before = F.slice(ranked, 1, size - 1)
-    after = F.slice(ranked, 2, size - 1)
-    pairs = F.filter(F.arrays_zip(before.alias("a"), after.alias("b")), lambda p: p["a"]["k"] == p["b"]["k"])
-    places = F.array_sort(F.array_distinct(F.concat(F.transform(pairs, lambda p: p["a"]["i"]), F.transform(pairs, lambda p: p["b"]["i"]))))
-    steps = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
-    return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
-
-
-def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts per document; one narrow pass, no shuffle."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"))
-    d = d.select("doc_id", "_t", F.array_remove(F.split("_t", SPACES, -1), "").alias("_w"))
-    d = d.select("doc_id", "_t", "_w", _repeat_words(F.col("_w")).alias("_k"), F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
-    repeats = F.when(F.size(F.array_distinct("_k")) == F.size("_k"), F.lit(0)).otherwise(_covered(F.col("_k")))
-    ends = r"[.,!?;:]$"
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    d = d.withColumn("_b", F.btrim("_t", F.lit(" \t\n\x0b\f\r")))
+    d = d.withColumn("_w", F.when(F.length("_b") > 0, F.split("_b", SPACES, -1)).otherwise(F.array().cast("array<string>")))
+    at = lambda c, i: F.get(F.col(c), i)
+    every = F.transform("_w", lambda w, i: F.xxhash64(w, at("_w", i + 1), at("_w", i + 2)))
+    none = F.array().cast("array<bigint>")
+    d = d.withColumn("_k", F.when(F.size("_w") >= 3, F.slice(every, 1, F.size("_w") - 2)).otherwise(none))
+    d = d.withColumn("_r", F.when(F.size(F.array_distinct("_k")) < F.size("_k"), F.sort_array(F.transform("_k", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))))
+    same = lambda x, j: F.coalesce(at("_r", j)["k"] == x["k"], F.lit(False))
+    found = F.transform("_r", lambda x, j: F.when(same(x, j + 1) | ((j > 0) & same(x, F.greatest(j - 1, F.lit(0)))), x["i"]))
+    d = d.withColumn("_p", F.sort_array(F.array_compact(found)))
+    cover = F.transform("_p", lambda x, j: F.coalesce(F.least(at("_p", j + 1) - x, F.lit(3)), F.lit(3)))
+    repeats = F.coalesce(F.aggregate(cover, F.lit(0), lambda a, x: a + x), F.lit(0))
+    d = d.withColumn("_l", F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\f\r"))) > 0))
+    less = lambda c, what: F.length(c) - F.length(F.replace(c, F.lit(what), F.lit("")))
     return d.select(
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
@@ -70,9 +58,8 @@ def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         repeats.cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
-        F.size(F.array_intersect(F.transform(F.slice("_w", 1, F.size("_w")), lambda x: F.lower(x)), F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop_words"),
-        F.size(F.filter("_w", lambda x: F.substring(x, -1, 1).isin(".", ",", "!", "?", ";", ":"))).cast("long").alias("n_stops"),
-        F.size(F.array_distinct("_w")).cast("long").alias("n_distinct_words"),
+        F.size(F.array_intersect("_w", F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop_words"),
+        (less(F.col("_b"), ".") + less(F.col("_b"), ",")).cast("long").alias("n_stops"),
     )
 
 
@@ -102,7 +89,6 @@ def rules() -> list[Rule]:
         Rule("repeats", ratio("n_repeat_words") <= 0.15, ratio("n_repeat_words") > 0.35, some),
         Rule("stop_words", F.col("n_stop_words") >= 3, F.col("n_stop_words") == 0, some),
         Rule("punctuation", ratio("n_stops").between(0.01, 0.4), ~ratio("n_stops").between(0.002, 0.6), F.col("n_words") >= 50),
-        Rule("variety", F.col("n_distinct_words") >= 3.0 * F.sqrt(words), F.col("n_distinct_words") < 1.5 * F.sqrt(words), F.col("n_words") >= 50),
         Rule("length", F.col("n_words") >= 80, F.col("n_words") < 30, F.lit(True)),
     ]
 
