@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, fixity, langid, line_dedup, packing, quality
+from millrace.llm import decontaminate, fixity, langid, licenses, line_dedup, ngram_join, packing, quality
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.query,
+        "op2_ngram_jaccard": ngram_join.query,
         "op4_benchmark_decontamination": decontaminate.query,
         "op5_language_id": langid.query,
         "op6_warc_merkle": fixity.query,
         "op8_quality_rules": quality.query,
+        "op9_license_scan": licenses.query,
         "op10_line_dedup": line_dedup.query,
     }
 
