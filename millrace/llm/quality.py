@@ -83,7 +83,8 @@ def rules() -> list[Rule]:
     some = F.col("n_words") >= 20
     mean_word = F.col("word_chars") / words
     return [
-        Rule("symbols", ratio("n_symbols") <= 0.05, ratio("n_symbols") > 0.2, F.col("n_words") > 0),
+        Rule("symbols_per_word", ratio("n_symbols") <= 0.05, ratio("n_symbols") > 0.2, F.col("n_words") > 0),
+        Rule("symbol_share", F.col("n_symbols") <= 0.01 * F.col("word_chars"), F.col("n_symbols") > 0.03 * F.col("word_chars"), F.col("n_words") > 0),
         Rule("word_length", mean_word.between(3.0, 10.0), ~mean_word.between(2.0, 14.0), some),
         Rule("line_copies", F.col("n_dup_lines") / lines <= 0.1, F.col("n_dup_lines") / lines > 0.3, F.col("n_lines") >= 2),
         Rule("repeats", ratio("n_repeat_words") <= 0.15, ratio("n_repeat_words") > 0.35, some),
@@ -106,12 +107,13 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def fit(patterns: list[tuple[tuple[int | None, ...], int]], n_rules: int, rounds: int = 50, start: tuple[float, float, float] = (0.8, 0.9, 0.3)) -> Model:
+def fit(patterns: list[tuple[tuple[int | None, ...], int]], n_rules: int, rounds: int = 50, start: tuple[float, float, float] = (0.8, 0.95, 0.7)) -> Model:
     """Expectation-maximisation over vote patterns and their counts.
 
     Rates are held so that a good vote never speaks against a document: this
     fixes which of the two latent classes is called good. Counts are smoothed
-    by ten pseudo-documents at the start values.
+    by ten pseudo-documents at the start values, which say that a bad document
+    is bad in few respects: it gets good votes from most rules.
     """
     prior, good, bad = start[0], [start[1]] * n_rules, [start[2]] * n_rules
     weight = 10.0
