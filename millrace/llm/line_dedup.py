@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.sizes import small_or_shuffled
 from millrace.session import cut
 
 LG_K = 12
@@ -60,7 +61,7 @@ def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
     near = spread.filter(F.col("_sites") < min_sites + band).select("_key")
     exact = (
         lines.filter(F.col("_site").isNotNull())
-        .join(near, "_key", "left_semi")
+        .join(small_or_shuffled(near), "_key", "left_semi")
         .groupBy("_key", "_site")
         .agg(F.lit(1).alias("_one"))
         .groupBy("_key")
@@ -84,14 +85,8 @@ def remove_boilerplate(
     Adds line_count, removed_lines (of this document) after the columns of docs.
     """
     lines = line_table(docs, doc_col, text_col, site_col)
-    keys = boilerplate_keys(lines, min_sites)
-    per_doc = (
-        lines.select("_doc", "_key")
-        .distinct()
-        .join(keys, "_key")
-        .groupBy("_doc")
-        .agg(F.collect_list("_key").alias("_spread"))
-    )
+    keys = small_or_shuffled(cut(boilerplate_keys(lines, min_sites)))
+    per_doc = lines.select("_doc", "_key").join(keys, "_key").groupBy("_doc").agg(F.collect_set("_key").alias("_spread"))
     split = F.split(F.col(text_col), "\n", -1)
     out = docs.join(per_doc, F.col(doc_col).eqNullSafe(F.col("_doc")), "left").drop("_doc")
     out = out.withColumn("_kept", F.when(F.col("_spread").isNull(), split).otherwise(
