@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, fixity, langid, licenses, line_dedup, ngram_join, packing, quality
+from millrace.llm import decontaminate, fixity, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.query,
         "op2_ngram_jaccard": ngram_join.query,
+        "op3_suffix_dedup": suffix_dedup.query,
         "op4_benchmark_decontamination": decontaminate.query,
         "op5_language_id": langid.query,
         "op6_warc_merkle": fixity.query,
