@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, fixity, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup
+from millrace.llm import decontaminate, fixity, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_benchmark_decontamination": decontaminate.query,
         "op5_language_id": langid.query,
         "op6_warc_merkle": fixity.query,
+        "op7_toxicity": toxicity.query,
         "op8_quality_rules": quality.query,
         "op9_license_scan": licenses.query,
         "op10_line_dedup": line_dedup.query,

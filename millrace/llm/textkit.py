@@ -7,6 +7,9 @@ single text, never by the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = (np.ones(1, U64), np.ones(1, U64))
 
 
+def release() -> None:
+    """Gives freed memory back to the system; Python workers live on after a task and share their executor's limit."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     global _powers
@@ -82,6 +92,23 @@ def spans(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+#: ASCII letters and digits, and every byte of longer characters.
+IS_CORE = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
+
+
+def core_words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words without surrounding ASCII punctuation: starts, ends, first word of each text; words of punctuation only are left out."""
+    starts, ends = spans(~IS_SPACE[data], offsets)
+    if not len(starts):
+        return starts, ends, np.zeros(len(offsets), np.int64)
+    core, at = IS_CORE[data], np.arange(len(data))
+    begin = np.minimum.accumulate(np.where(core, at, len(data))[::-1])[::-1][starts]
+    end = np.maximum.accumulate(np.where(core, at, -1))[ends - 1] + 1
+    keep = begin < ends
+    begin, end = begin[keep], end[keep]
+    return begin, end, np.searchsorted(begin, offsets)
+
+
 class Words:
     """Words of a block of texts: spans, 64-bit hashes, and first word of each text."""
 
