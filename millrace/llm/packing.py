@@ -20,6 +20,8 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from dataclasses import dataclass
 
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from millrace.llm import textkit as tk
 from millrace.session import cut
 
-#: Distinct words a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+#: Parts of words a worker remembers, across its tasks, before it starts afresh (about 150 bytes each).
+CACHE_WORDS = 800_000
+#: Bytes of text tokenised together; larger blocks repeat more words.
+BLOCK_BYTES = 1 << 20
 #: Plan rows up to which the plan is broadcast (40 bytes each).
 PLAN_ROWS = 500_000
 
@@ -43,13 +47,66 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_BYTES = np.arange(256)
+_LETTER, _MARK, _DIGIT, _OTHER = 1, 2, 3, 4
+_KIND = np.select(
+    [tk.IS_SPACE, ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122) & (_BYTES < 128), (_BYTES >= 48) & (_BYTES <= 57), _BYTES < 128],
+    [0, _LETTER, _DIGIT, _MARK],
+    _OTHER,
+).astype(np.uint8)
+
+
+def _opens_token(data: np.ndarray) -> np.ndarray:
+    """Where "<|" stands, with which special tokens begin."""
+    out = data == 0x3C
+    out[:-1] &= data[1:] == 0x7C
+    return out
+
+
+def _lower(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Lower case, but for words that may hold a special token, whose case counts."""
+    low = tk.LOWER[data]
+    for at in np.flatnonzero(_opens_token(data)):
+        k = np.searchsorted(starts, at, "right") - 1
+        low[starts[k] : ends[k]] = data[starts[k] : ends[k]]
+    return low
+
+
+def atoms(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of words that the tokenizer surely takes apart.
+
+    It splits runs of letters, single digits and runs of anything else, drops
+    blanks and ignores case. Cuts are made between ASCII kinds and Latin-1
+    letters only, and not in words with an apostrophe or "<|", where contractions
+    and special tokens cross kinds.
+    """
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    tail = data[lead + 1]
+    latin = lead[(tail >= 0x80) & (tail <= 0xBF) & (tail != 0x97) & (tail != 0xB7)]
+    kind[latin] = kind[latin + 1] = _LETTER
+    starts, ends = tk.spans(kind > 0, offsets)
+    a, b = kind[:-1], kind[1:]
+    cut = np.flatnonzero((a > 0) & (b > 0) & (a != _OTHER) & (b != _OTHER) & ((a != b) | (a == _DIGIT))) + 1
+    cut = cut[~np.isin(cut, offsets)] if len(cut) else cut
+    if len(cut):
+        special = np.concatenate([[0], np.cumsum((data == 0x27) | _opens_token(data))])
+        plain = special[ends] == special[starts]
+        cut = cut[plain[np.searchsorted(starts, cut, "right") - 1]]
+        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+    return starts, ends
+
+
 class WordTokens:
-    """Token ids by blank-separated word; the tokenizer never joins across blanks, so words can be remembered."""
+    """Token ids by part of word; the tokenizer never joins parts, so their ids can be remembered."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core to a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = "<|endoftext|>"
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.clear()
 
     def clear(self) -> None:
@@ -59,53 +116,99 @@ class WordTokens:
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int32)
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one run, and how many each has.
+
+        Words go in as one text, parted by a special token that no word holds;
+        words that might hold one are encoded by themselves.
+        """
+        odd = [i for i, w in enumerate(words) if "<|" in w]
+        if odd:
+            own = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+            return np.fromiter((x for i in own for x in i), np.uint32, sum(map(len, own))), np.array([len(x) for x in own], np.int32)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        sizes = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+        return ids[ids != self.mark_id], sizes.astype(np.int32)
+
     def _add(self, hashes: list[int], words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        total, at = int(sizes.sum()), len(self.known)
+        plain = [i for i, w in enumerate(words) if "<|" not in w]
+        if len(plain) < len(words):
+            chosen = set(plain)
+            rest = [i for i in range(len(words)) if i not in chosen]
+            for group in (plain, rest):
+                if group:
+                    self._store([hashes[i] for i in group], [words[i] for i in group])
+        else:
+            for i in range(0, len(words), 4096):
+                self._store(hashes[i : i + 4096], words[i : i + 4096])
+
+    def _store(self, hashes: list[int], words: list[str]) -> None:
+        ids, sizes = self._ids(words)
+        total, at = len(ids), len(self.known)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while at + len(ids) > len(self.begin):
+        while at + len(words) > len(self.begin):
             self.begin, self.size = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), np.uint32, total)
-        self.begin[at : at + len(ids)] = self.used + np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        self.size[at : at + len(ids)] = sizes
-        self.known.update(zip(hashes, range(at, at + len(ids))))
+        self.flat[self.used : self.used + total] = ids
+        self.begin[at : at + len(words)] = self.used + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
+        self.size[at : at + len(words)] = sizes
+        self.known.update(zip(hashes, range(at, at + len(words))))
         self.used += total
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts, and first id of each text."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        w = tk.Words(offsets, data, lower=False)
-        uniq, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+        starts, ends = atoms(offsets, data)
+        low = _lower(data, starts, ends)
+        hashes = tk.span_hash(tk.prefix_hash(low), starts, ends)
+        uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         keys = uniq.tolist()
-        fresh = [i for i, k in enumerate(keys) if k not in self.known]
-        if fresh:
-            raw = data.tobytes()
-            self._add([keys[i] for i in fresh], [raw[w.starts[j] : w.ends[j]].decode("utf-8", "replace") for j in first[fresh]])
-        slot = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
-        sizes, begin = self.size[slot], self.begin[slot]
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], sizes)]
-        return ids, ends[w.first]
+        slots = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        fresh = np.flatnonzero(slots < 0)
+        if len(fresh):
+            raw, at = low.tobytes(), first[fresh]
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            fresh_keys = uniq[fresh].tolist()
+            self._add(fresh_keys, words)
+            slots[fresh] = np.fromiter(map(self.known.__getitem__, fresh_keys), np.int64, len(fresh_keys))
+        sizes, begin = self.size[slots][inverse], self.begin[slots][inverse]
+        upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        ids = self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], sizes)]
+        return ids, upto[np.searchsorted(starts, offsets)]
+
+
+_held: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The worker's own tokenizer and memory for a file."""
+    if path not in _held:
+        _held[path] = WordTokens(path)
+    return _held[path]
 
 
 def tokenise(docs: DataFrame, capacity: int, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches):
-        words = WordTokens(path)
+        words = word_tokens(path)
+        mark = end_id.to_bytes(4, "little")
         for b in batches:
             doc_ids = b.column(0)
-            for lo, hi, offsets, data in tk.blocks(b.column(1)):
+            for lo, hi, offsets, data in tk.blocks(b.column(1), BLOCK_BYTES):
                 ids, first = words.encode(offsets, data)
                 out = []
-                for i in range(hi - lo):
-                    mine = np.append(ids[first[i] : first[i + 1]], np.uint32(end_id)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(mine), capacity)):
-                        part = mine[start : start + capacity]
-                        out.append((lo + i, piece, start, len(part), zlib.crc32(part.tobytes())))
+                ids = ids.astype("<u4", copy=False)
+                for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                    size = z - a + 1  # with the end mark
+                    for piece, start in enumerate(range(0, size, capacity)):
+                        length = min(capacity, size - start)
+                        crc = zlib.crc32(ids[a + start : min(a + start + length, z)])
+                        if start + length == size:
+                            crc = zlib.crc32(mark, crc)
+                        out.append((lo + i, piece, start, length, crc))
                 rows, piece, start, length, crc = (np.array(x, np.int64) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
