@@ -228,6 +228,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, covera
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the texts that hold an item of the benchmark."""
+    return find_leaks(docs, benchmark, text_col=text_col).filter(F.size("leak_items") == 0).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -376,6 +376,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the texts whose language the model rejects; learns from the languages that docs gives."""
+    found = identify(docs, learn(docs, F.lit(True), text_col=text_col), text_col)
+    return found.filter(~F.col("lang_rejected")).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = _crc_mod("doc_id", 4) == 2

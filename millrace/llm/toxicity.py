@@ -37,8 +37,8 @@ STRIDE = 24
 HIDDEN = 8
 WIDTH = 8
 ATTEND = 8
-SAMPLE_DOCS = 1500
-PASSES = 6
+SAMPLE_DOCS = 3000
+PASSES = 8
 THRESHOLD = 0.7
 #: Bits of the hash tables: words, first four bytes, first five bytes, last three bytes.
 TABLE_BITS = (15, 13, 13, 12)
