@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from millrace.plans import search_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**search_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**search_queries.oracle_sql()}
