@@ -52,7 +52,7 @@ GRAM = 128
 #: Occurrences of one k-gram from which its anchors are dealt by the bytes behind it as well.
 HOT = 2000
 #: Memory of a run before it is sorted and sent on.
-RUN_BYTES = 64_000_000
+RUN_BYTES = 32_000_000
 
 
 #: Windows looked at together; places within them take the low bits of a packed word.
@@ -212,6 +212,7 @@ def _candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     row, at, key, lo, hi = (np.concatenate(x) for x in zip(*parts))
                     row = pa.array(row)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(at), pa.array(key), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["_id", "_h", "at", "key", "lo", "hi"])
+        tk.release()
 
     return docs.select("_id", "_h", "_text").mapInArrow(run, f"_id {kind}, _h long, at long, key long, lo int, hi int")
 
@@ -267,9 +268,9 @@ def _runs(anchored: DataFrame, parts: int, length: int) -> DataFrame:
     def run(batches):
         held, size = {}, 0
         for b in batches:
-            for doc, h, text, mine in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            for doc, h, text, mine in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 data = text.as_buffer().to_pybytes()
-                for s in mine:
+                for s in mine.as_py():
                     at = s["at"]
                     suffix, before = data[at : at + length], data[at - s["hi"] : at][::-1]
                     for part, lo, hi in _targets(s["key"], s["hot"], s["lo"], s["hi"], suffix, before, length, parts):
@@ -286,6 +287,8 @@ def _runs(anchored: DataFrame, parts: int, length: int) -> DataFrame:
                     yield from emit(held)
                     held, size = {}, 0
         yield from emit(held)
+        held = None
+        tk.release()
 
     return anchored.mapInArrow(run, _RUN)
 
@@ -349,6 +352,8 @@ def _merge(runs: DataFrame, kind: str, length: int) -> DataFrame:
                 held.append(row)
         if held:
             yield from merge(held)
+        held = None
+        tk.release()
 
     return runs.mapInArrow(run, f"_id {kind}, _h long, start long, end long")
 
@@ -377,12 +382,14 @@ def _apply(joined: DataFrame, kind: str, keep_text: bool) -> DataFrame:
                 n_removed.append(removed)
                 n_spans.append(runs)
                 digests.append(hashlib.sha256(out).hexdigest())
-                rest.append(out)
+                if keep_text:
+                    rest.append(out)
             arrays = [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
                 arrays, names = [*arrays, pa.array(rest, pa.binary())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        tk.release()
 
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
