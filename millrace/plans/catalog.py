@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.plans import search_queries
+from millrace.plans import graph_queries, search_queries
 
 
 def queries() -> dict:
-    return {**search_queries.queries()}
+    return {**search_queries.queries(), **graph_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**search_queries.oracle_sql()}
+    return {**search_queries.oracle_sql(), **graph_queries.oracle_sql()}
