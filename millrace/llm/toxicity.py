@@ -39,6 +39,8 @@ WIDTH = 8
 ATTEND = 8
 SAMPLE_DOCS = 3000
 PASSES = 8
+#: Small samples are passed over until so many steps are made.
+MIN_STEPS = 600
 THRESHOLD = 0.7
 #: Bits of the hash tables: words, first four bytes, first five bytes, last three bytes.
 TABLE_BITS = (15, 13, 13, 12)
@@ -190,7 +192,8 @@ def train(feats: np.ndarray, first: np.ndarray, labels: np.ndarray, passes: int
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
-    for turn in range(passes):
+    per_pass = max(1, 2 * len(np.unique(text)) // batch)
+    for turn in range(max(passes, -(-MIN_STEPS // per_pass)) if len(start) else 0):
         if turn:
             score = score_windows(net, feats, start, size)
         order = np.lexsort((score, text))
@@ -247,7 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_on: Column, sample_docs: int
                 blobs = [feats[first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["_y", "words"])
 
-    got = rows.mapInArrow(run, "_y int, words binary").orderBy(F.xxhash64("words"), "_y").collect()
+    got = rows.mapInArrow(tk.tidy(run), "_y int, words binary").orderBy(F.xxhash64("words"), "_y").collect()
     got = [(r[0], np.frombuffer(r[1], np.int32).reshape(-1, len(TABLE_BITS))) for r in got if len(r[1])]
     y = np.array([r[0] for r in got])
     if len(np.unique(y)) < 2:
@@ -257,7 +260,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_on: Column, sample_docs: int
 
 
 def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """docs with toxicity added."""
+    """docs with toxicity added; a column of docs with this name is replaced."""
+    docs = docs.drop("toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
     at = docs.columns.index(text_col)
@@ -276,7 +280,7 @@ def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataF
                         out[lo + text[head]] = _sigmoid(np.maximum.reduceat(logit, head).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "toxicity"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tk.tidy(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
