@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.plans import graph_queries, search_queries
+from millrace.plans import evaluation, graph_queries, search_queries
+
+_PARTS = (search_queries, graph_queries, evaluation)
 
 
 def queries() -> dict:
-    return {**search_queries.queries(), **graph_queries.queries()}
+    return {name: query for part in _PARTS for name, query in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**search_queries.oracle_sql(), **graph_queries.oracle_sql()}
+    return {name: sql for part in _PARTS for name, sql in part.oracle_sql().items()}
