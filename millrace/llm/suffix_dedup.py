@@ -212,9 +212,8 @@ def _candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     row, at, key, lo, hi = (np.concatenate(x) for x in zip(*parts))
                     row = pa.array(row)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(at), pa.array(key), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["_id", "_h", "at", "key", "lo", "hi"])
-        tk.release()
 
-    return docs.select("_id", "_h", "_text").mapInArrow(run, f"_id {kind}, _h long, at long, key long, lo int, hi int")
+    return docs.select("_id", "_h", "_text").mapInArrow(tk.tidy(run), f"_id {kind}, _h long, at long, key long, lo int, hi int")
 
 
 def _front_code(suffixes: list[bytes]) -> tuple[list[int], bytes]:
@@ -246,7 +245,7 @@ def _targets(key: int, hot: bool, lo: int, hi: int, suffix: bytes, before: bytes
         yield key % parts, lo, hi
         return
     for d in range(lo - lo % STEP, hi + 1, STEP):
-        common = hash_bytes(before[:d] + b"\0" + suffix[: length - d - STEP + 1])
+        common = hash_bytes(before[:d] + b"\0" + suffix[: max(0, length - d - STEP + 1)])
         yield (key ^ common ^ d) % parts, max(lo, d), min(hi, d + STEP - 1)
 
 
@@ -288,9 +287,8 @@ def _runs(anchored: DataFrame, parts: int, length: int) -> DataFrame:
                     held, size = {}, 0
         yield from emit(held)
         held = None
-        tk.release()
 
-    return anchored.mapInArrow(run, _RUN)
+    return anchored.mapInArrow(tk.tidy(run), _RUN)
 
 
 def hash_bytes(x: bytes) -> int:
@@ -353,9 +351,8 @@ def _merge(runs: DataFrame, kind: str, length: int) -> DataFrame:
         if held:
             yield from merge(held)
         held = None
-        tk.release()
 
-    return runs.mapInArrow(run, f"_id {kind}, _h long, start long, end long")
+    return runs.mapInArrow(tk.tidy(run), f"_id {kind}, _h long, start long, end long")
 
 
 def _apply(joined: DataFrame, kind: str, keep_text: bool) -> DataFrame:
@@ -389,9 +386,8 @@ def _apply(joined: DataFrame, kind: str, keep_text: bool) -> DataFrame:
             if keep_text:
                 arrays, names = [*arrays, pa.array(rest, pa.binary())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
-        tk.release()
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.mapInArrow(tk.tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -402,7 +398,7 @@ def find_repeats(texts: DataFrame, length: int, gram: int, parts: int) -> DataFr
     """Repeated spans of texts (_id, _h, _text): _id, _h, start, end, overlapping still."""
     anchors = cut(_candidates(texts, length, gram))
     twice = anchors.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") >= HOT).alias("hot"))
-    spots = anchors.join(twice, "key").groupBy("_id", "_h").agg(F.collect_set(F.struct("at", "key", "lo", "hi", "hot")).alias("spots"))
+    spots = anchors.join(small_or_shuffled(cut(twice)), "key").groupBy("_id", "_h").agg(F.collect_set(F.struct("at", "key", "lo", "hi", "hot")).alias("spots"))
     spots = cut(spots)
     wanted = small_or_shuffled(spots.select("_id", "_h"))
     some = texts.join(wanted, _same(texts, wanted), "left_semi")
