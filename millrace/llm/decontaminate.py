@@ -198,11 +198,12 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with leak_items (array of item ids), leak_item (the best), leak_coverage and leak_exact added."""
+    """docs with leak_items (array of item ids), leak_item (the best), leak_coverage and leak_exact added; columns of docs with these names are replaced."""
+    docs = docs.drop("leak_items", "leak_item", "leak_coverage", "leak_exact")
     spark = docs.sparkSession
     id_type = benchmark.schema[item_id].dataType
     hit = T.StructType([T.StructField("item", id_type), T.StructField("coverage", T.DoubleType()), T.StructField("exact", T.BooleanType())])
-    found = docs.withColumn("_hits", F.array().cast(T.ArrayType(hit)))
+    found = docs.withColumn("__hits", F.array().cast(T.ArrayType(hit)))
     for ids, texts in _blocks(benchmark, item_id, item_text, block_chars):
         shared = spark.sparkContext.broadcast(Block(ids, texts, width))
         at = found.columns.index(text_col)
@@ -216,15 +217,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, covera
                         hits[lo + text].append({"item": item, "coverage": share, "exact": same})
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hits, arrow_hit)], names=b.schema.names)
 
-        found = found.mapInArrow(run, found.schema)
-    order = F.array_sort(F.transform("_hits", lambda x: F.struct((-x["coverage"]).alias("c"), x["item"].alias("i"), x["exact"].alias("e"))))
-    found = found.withColumn("_best", F.get(order, F.lit(0)))
+        found = found.mapInArrow(tk.tidy(run), found.schema)
+    order = F.array_sort(F.transform("__hits", lambda x: F.struct((-x["coverage"]).alias("c"), x["item"].alias("i"), x["exact"].alias("e"))))
+    found = found.withColumn("__best", F.get(order, F.lit(0)))
     return found.select(
         *docs.columns,
-        F.array_sort(F.transform("_hits", lambda x: x["item"])).alias("leak_items"),
-        F.col("_best.i").alias("leak_item"),
-        (-F.col("_best.c")).alias("leak_coverage"),
-        F.col("_best.e").alias("leak_exact"),
+        F.array_sort(F.transform("__hits", lambda x: x["item"])).alias("leak_items"),
+        F.col("__best.i").alias("leak_item"),
+        (-F.col("__best.c")).alias("leak_coverage"),
+        F.col("__best.e").alias("leak_exact"),
     )
 
 

@@ -319,7 +319,7 @@ def learn(docs: DataFrame, train: Column, doc_col: str = "doc_id", text_col: str
         share = F.when(F.col(lang_col) == r[0], F.lit(min(1.0, sample_chars / max(1, r[1])))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(doc_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.filter(draw < share).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    partial = sample.mapInArrow(lambda it: _counts(it, langs, order), "lang int, n int, gram bigint, context bigint, lower bigint, count bigint")
+    partial = sample.mapInArrow(tk.tidy(lambda it: _counts(it, langs, order)), "lang int, n int, gram bigint, context bigint, lower bigint, count bigint")
     merged = partial.groupBy("lang", "n", "gram").agg(F.min("context").alias("context"), F.min("lower").alias("lower"), F.sum("count").alias("count"))
     got = merged.toArrow()  # bounded: at most order * len(langs) * sample_chars entries, far fewer in practice
     rows = np.zeros(got.num_rows, dtype=[("lang", np.int32), ("n", np.int32), ("gram", U64), ("context", U64), ("lower", U64), ("count", np.int64)])
@@ -343,7 +343,7 @@ def learn(docs: DataFrame, train: Column, doc_col: str = "doc_id", text_col: str
                     acc[:, k] += np.bincount(own[lo:hi][ok], v[ok], len(langs))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(langs), dtype=np.int32)), *(pa.array(acc[:, k]) for k in range(3))], names=["lang", "n", "s", "q"])
 
-    stats = sample.mapInArrow(measure, "lang int, n double, s double, q double").groupBy("lang").agg(F.sum("n"), F.sum("s"), F.sum("q")).collect()
+    stats = sample.mapInArrow(tk.tidy(measure), "lang int, n double, s double, q double").groupBy("lang").agg(F.sum("n"), F.sum("s"), F.sum("q")).collect()
     for lang, n, s, q in stats:
         if n:
             mean = s / n
@@ -353,7 +353,8 @@ def learn(docs: DataFrame, train: Column, doc_col: str = "doc_id", text_col: str
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_rejected added."""
+    """docs with lang_pred, lang_score and lang_rejected added; columns of docs with these names are replaced."""
+    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
@@ -373,7 +374,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     pred[lo:hi], score[lo:hi], rejected[lo:hi] = predict(h, letters, m)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[pred].tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=[*b.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tk.tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text") -> DataFrame:

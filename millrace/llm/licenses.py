@@ -122,7 +122,8 @@ def _blank_between(data: np.ndarray, newline: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, dice: float = DICE, text_col: str = "text") -> DataFrame:
-    """docs with license_matches added: array of (license, template, start, end, dice), by place."""
+    """docs with license_matches added: array of (license, template, start, end, dice), by place; a column of docs with this name is replaced."""
+    docs = docs.drop("license_matches")
     kind = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("dice", T.DoubleType())]))
     arrow = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("dice", pa.float64())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("license_matches", kind)])
@@ -139,7 +140,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, dice: float = DICE, text_col: str
                 x.sort(key=lambda m: (m["start"], m["template"]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, arrow)], names=[*b.schema.names, "license_matches"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tk.tidy(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

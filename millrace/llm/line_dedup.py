@@ -40,9 +40,9 @@ def _key(line: Column) -> Column:
 def line_table(docs: DataFrame, doc_col: str, text_col: str, site_col: str) -> DataFrame:
     """One row for each line that holds more than blanks."""
     return (
-        docs.select(F.col(doc_col).alias("_doc"), F.col(site_col).alias("_site"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("_line"))
-        .filter(F.length(_stripped(F.col("_line"))) > 0)
-        .select("_doc", "_site", _key(F.col("_line")).alias("_key"))
+        docs.select(F.col(doc_col).alias("__doc"), F.col(site_col).alias("__site"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("__line"))
+        .filter(F.length(_stripped(F.col("__line"))) > 0)
+        .select("__doc", "__site", _key(F.col("__line")).alias("__key"))
     )
 
 
@@ -51,23 +51,23 @@ def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
     band = max(1, int(4 * SIGMA * min_sites + 0.999))
     # a null site would hash like any value, so it is left out before sketching
     spread = cut(
-        lines.filter(F.col("_site").isNotNull())
-        .groupBy("_key")
-        .agg(F.hll_sketch_agg(F.xxhash64("_site"), F.lit(LG_K)).alias("_sketch"))
-        .select("_key", F.hll_sketch_estimate("_sketch").alias("_sites"))
-        .filter(F.col("_sites") > min_sites - band)
+        lines.filter(F.col("__site").isNotNull())
+        .groupBy("__key")
+        .agg(F.hll_sketch_agg(F.xxhash64("__site"), F.lit(LG_K)).alias("__sketch"))
+        .select("__key", F.hll_sketch_estimate("__sketch").alias("__sites"))
+        .filter(F.col("__sites") > min_sites - band)
     )
-    clear = spread.filter(F.col("_sites") >= min_sites + band).select("_key")
-    near = spread.filter(F.col("_sites") < min_sites + band).select("_key")
+    clear = spread.filter(F.col("__sites") >= min_sites + band).select("__key")
+    near = spread.filter(F.col("__sites") < min_sites + band).select("__key")
     exact = (
-        lines.filter(F.col("_site").isNotNull())
-        .join(small_or_shuffled(near), "_key", "left_semi")
-        .groupBy("_key", "_site")
-        .agg(F.lit(1).alias("_one"))
-        .groupBy("_key")
-        .agg(F.count("_one").alias("_n"))
-        .filter(F.col("_n") >= min_sites)
-        .select("_key")
+        lines.filter(F.col("__site").isNotNull())
+        .join(small_or_shuffled(near), "__key", "left_semi")
+        .groupBy("__key", "__site")
+        .agg(F.lit(1).alias("__one"))
+        .groupBy("__key")
+        .agg(F.count("__one").alias("__n"))
+        .filter(F.col("__n") >= min_sites)
+        .select("__key")
     )
     return clear.unionByName(exact)
 
@@ -82,22 +82,24 @@ def remove_boilerplate(
 ) -> DataFrame:
     """docs with cross-site lines taken out of text_col.
 
-    Adds line_count, removed_lines (of this document) after the columns of docs.
+    Adds line_count, removed_lines (of this document) after the columns of docs;
+    columns of docs with these names are replaced.
     """
+    docs = docs.drop("line_count", "removed_lines")
     lines = line_table(docs, doc_col, text_col, site_col)
     keys = small_or_shuffled(cut(boilerplate_keys(lines, min_sites)))
-    per_doc = lines.select("_doc", "_key").join(keys, "_key").groupBy("_doc").agg(F.collect_set("_key").alias("_spread"))
+    per_doc = lines.select("__doc", "__key").join(keys, "__key").groupBy("__doc").agg(F.collect_set("__key").alias("__spread"))
     split = F.split(F.col(text_col), "\n", -1)
-    out = docs.join(per_doc, F.col(doc_col).eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    out = out.withColumn("_kept", F.when(F.col("_spread").isNull(), split).otherwise(
-        F.filter(split, lambda line: (F.length(_stripped(line)) == 0) | ~F.array_contains(F.col("_spread"), _key(line)))
+    out = docs.join(per_doc, F.col(doc_col).eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    out = out.withColumn("__kept", F.when(F.col("__spread").isNull(), split).otherwise(
+        F.filter(split, lambda line: (F.length(_stripped(line)) == 0) | ~F.array_contains(F.col("__spread"), _key(line)))
     ))
     size = lambda parts: F.length(F.array_join(parts, ""))
-    mostly = (size(split) - size(F.col("_kept"))) > max_share * size(split)
-    out = out.withColumn("_kept", F.when(mostly, split).otherwise(F.col("_kept")))
+    mostly = (size(split) - size(F.col("__kept"))) > max_share * size(split)
+    out = out.withColumn("__kept", F.when(mostly, split).otherwise(F.col("__kept")))
     out = out.withColumn("line_count", F.coalesce(F.size(F.filter(split, lambda x: F.length(_stripped(x)) > 0)), F.lit(0)).cast("long"))
-    out = out.withColumn("removed_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size("_kept")).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("removed_lines") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col)))
+    out = out.withColumn("removed_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size("__kept")).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col("removed_lines") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col)))
     return out.select(*docs.columns, "line_count", "removed_lines")
 
 

@@ -34,7 +34,7 @@ from millrace.llm import textkit as tk
 from millrace.session import cut
 
 #: Parts of words a worker remembers, across its tasks, before it starts afresh (about 150 bytes each).
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: Bytes of text tokenised together; larger blocks repeat more words.
 BLOCK_BYTES = 1 << 20
 #: Plan rows up to which the plan is broadcast (40 bytes each).
@@ -213,7 +213,7 @@ def tokenise(docs: DataFrame, capacity: int, path: str, end_id: int, id_col: str
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(tk.tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass(frozen=True)

@@ -31,10 +31,23 @@ _powers = (np.ones(1, U64), np.ones(1, U64))
 def release() -> None:
     """Gives freed memory back to the system; Python workers live on after a task and share their executor's limit."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidy(run):
+    """run, an iterator over batches, with its memory released at the end of the task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     global _powers
