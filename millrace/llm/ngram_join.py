@@ -34,9 +34,11 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import textkit as tk
@@ -45,9 +47,14 @@ from millrace.llm.sizes import small_or_shuffled
 from millrace.session import cut
 
 U64 = np.uint64
-#: Buckets of up to this many classes are joined pair by pair; larger ones go by their pivot.
-SMALL_BUCKET = 8
+#: Buckets of up to this many classes are joined pair by pair; larger ones go by their pivot. The
+#: positional filter drops most pairs of buckets of differences, which may be larger.
+SMALL_BUCKET = 24
+SMALL_DIFFERENCE_BUCKET = 512
 SALTS = 16
+#: Counters of the frequency sketch, as powers of two: sixteen for each document within these bounds. Tasks send
+#: them compressed, which takes no more than a few bits for each shingle that a task has read.
+SKETCH_BITS = (18, 24)
 RANGES = 16
 
 
@@ -77,7 +84,7 @@ def _binaries(values: np.ndarray, begin: np.ndarray) -> pa.Array:
 
 
 def _sketch_bits(n_docs: int) -> int:
-    return int(min(24, max(16, np.ceil(np.log2(max(n_docs, 1))) + 2)))
+    return int(min(SKETCH_BITS[1], max(SKETCH_BITS[0], np.ceil(np.log2(max(n_docs, 1))) + 4)))
 
 
 def _measure(docs: DataFrame, n: int, bits: int) -> DataFrame:
@@ -86,40 +93,40 @@ def _measure(docs: DataFrame, n: int, bits: int) -> DataFrame:
     piece_bits = min(bits, 14)
 
     def run(batches):
-        sketch = np.zeros(1 << bits, np.int64)
+        sketch = np.zeros(1 << bits, np.int32)
         arrow_id = None
         for b in batches:
             arrow_id = b.schema.field(0).type
             for lo, hi, offsets, data in tk.blocks(b.column(1)):
                 values, begin = shingle_sets(offsets, data, n)
-                sketch += np.bincount((values >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                np.add.at(sketch, (values >> U64(64 - bits)).astype(np.int64), 1)
                 size = np.diff(begin)
                 rows = hi - lo
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, rows), _binary16(_class_ids(values, begin)), pa.array(size.astype(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "cls", "size", "piece", "counts"])
         if arrow_id is not None and sketch.any():
-            parts = np.minimum(sketch, 2**31 - 1).astype(np.int32).reshape(-1, 1 << piece_bits)
+            parts = np.minimum(sketch, 255).astype(np.uint8).reshape(-1, 1 << piece_bits)
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, arrow_id), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "cls", "size", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, arrow_id), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["doc_id", "cls", "size", "piece", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, cls binary, size long, piece int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(tk.tidy(run), f"doc_id {kind.simpleString()}, cls binary, size long, piece int, counts binary")
 
 
 def _merge_sketch(pieces: DataFrame, bits: int) -> np.ndarray:
     """Sum of the tasks' sketches; its size is set by `bits`, whatever the corpus."""
 
-    def add(key, table):
+    def add(key, table, kind):
         total = np.zeros(0, np.int64)
         for v in table.column("counts"):
-            x = np.frombuffer(v.as_py(), np.int32).astype(np.int64)
+            x = np.frombuffer(zlib.decompress(v.as_py()), kind).astype(np.int64)
             total = x if not len(total) else total + x
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())})
 
     # a second key spreads the tasks' pieces before the last sum
     spread = pieces.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(8)))
-    half = spread.groupBy("piece", "part").applyInArrow(lambda key, t: add(key, t), "piece int, counts binary")
+    half = spread.groupBy("piece", "part").applyInArrow(lambda key, t: add(key, t, np.uint8), "piece int, counts binary")
     out = np.zeros(1 << bits, np.int32)
-    for row in half.groupBy("piece").applyInArrow(lambda key, t: add(key, t), "piece int, counts binary").collect():
-        part = np.frombuffer(row["counts"], np.int32)
+    for row in half.groupBy("piece").applyInArrow(lambda key, t: add(key, t, np.int32), "piece int, counts binary").collect():
+        part = np.frombuffer(zlib.decompress(row["counts"]), np.int32)
         out[row["piece"] * len(part) : (row["piece"] + 1) * len(part)] = part
     return out
 
@@ -152,33 +159,45 @@ def _prefix_rows(docs: DataFrame, n: int, percent: int, bits: int, sketch) -> Da
                 ids = _class_ids(values, begin)  # sums do not depend on the order within a set
                 yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), _binary16(ids[doc[keep]]), pa.array(size[doc[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["token", "cls", "size", "pos"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls binary, size int, pos int")
+    return docs.select("text").mapInArrow(tk.tidy(run), "token long, cls binary, size int, pos int")
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold two classes or more, with the bucket's count and least class."""
-    per = rows.dropDuplicates(["token", "cls"])
-    counted = per.groupBy("token").agg(F.count("cls").alias("members"), F.min("cls").alias("pivot"), F.max("fresh").alias("any_fresh"))
-    return per.join(counted.filter("members > 1 and any_fresh"), "token")
+    """Rows of buckets that hold two components or more, with the bucket's count and its pivot: the class with fewest rarer elements before."""
+    per = rows.repartition("token").dropDuplicates(["token", "cls"])
+    bucket = Window.partitionBy("token")
+    counted = per.select(
+        "*",
+        F.count("cls").over(bucket).alias("members"),
+        F.min(F.struct("pos", "cls")).over(bucket)["cls"].alias("pivot"),
+        (F.min("label").over(bucket) != F.max("label").over(bucket)).alias("open"),
+    )
+    return counted.filter("open")
 
 
-def _tasks(buckets: DataFrame, percent: int, positional: bool) -> DataFrame:
-    """(pivot, cls, expand): pairs to verify; expand asks for the difference as well."""
-    small = buckets.filter(F.col("members") <= SMALL_BUCKET)
+def _tasks(buckets: DataFrame, percent: int, small_bucket: int) -> DataFrame:
+    """(pivot, cls, expand): pairs to verify; expand asks for the difference as well.
+
+    Sizes of sets give the length filter. `whole` elements are listed per class
+    (its set at first, its difference from a pivot later), `pos` of them before
+    this one; similar classes share (whole + whole - allowed difference) / 2 of
+    them, and none before their first shared one: the positional filter.
+    """
+    small = buckets.filter(F.col("members") <= small_bucket)
     a, b = small.alias("a"), small.alias("b")
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.fresh") | F.col("b.fresh"))
+    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.label") != F.col("b.label"))
     sa, sb = F.col("a.size"), F.col("b.size")
     near &= 100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)
-    if positional:
-        need = F.ceil((sa + sb) * percent / F.lit(100.0 + percent) - 1e-9)
-        near &= F.least(sa - F.col("a.pos"), sb - F.col("b.pos")) >= need
+    allowed = F.floor((sa + sb) * (100 - percent) / F.lit(100.0 + percent) + 1e-9)
+    left = F.least(F.col("a.whole") - F.col("a.pos"), F.col("b.whole") - F.col("b.pos"))
+    near &= 2 * left >= F.col("a.whole") + F.col("b.whole") - allowed
     pairs = a.join(b, near).select(F.col("a.cls").alias("pivot"), F.col("b.cls").alias("cls"), F.lit(False).alias("expand"))
-    large = buckets.filter((F.col("members") > SMALL_BUCKET) & (F.col("cls") != F.col("pivot"))).select("pivot", "cls", F.lit(True).alias("expand"))
+    large = buckets.filter((F.col("members") > small_bucket) & (F.col("cls") != F.col("pivot"))).select("pivot", "cls", F.lit(True).alias("expand"))
     return pairs.unionByName(large).groupBy("pivot", "cls").agg(F.max("expand").alias("expand"))
 
 
 def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows kind 0: links (pivot, cls). Rows kind 1: difference elements of expanded members."""
+    """Rows kind 0: links (pivot, cls). Rows kind 1: elements of the differences of expanded members."""
     salted = tasks.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
     heads = salted.select("pivot", "salt").distinct().select("pivot", "salt", F.col("pivot").alias("cls"), F.lit(False).alias("expand"), F.lit(True).alias("head"))
     work = salted.select("pivot", "salt", "cls", "expand", F.lit(False).alias("head")).unionByName(heads).join(sets, "cls")
@@ -207,19 +226,29 @@ def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 apart = len(merged) - 2 * int(twin.sum())
                 linked = apart <= allowed
                 if linked:
-                    _put(out, 0, pivot, cls, 0, len(values), True)
+                    _put(out, 0, pivot, cls, 0, len(values), 0)
                 if expand:
                     single = np.ones(len(merged), bool)
                     single[1:] &= ~twin
                     single[:-1] &= ~twin
-                    diff = merged[single][: _max_difference_any(len(values), percent) + 1]
+                    diff = merged[single]
                     salt = U64(int.from_bytes(pivot[:8], "little"))
                     for key in tk.mix(diff ^ salt).view(np.int64).tolist():
-                        _put(out, 1, pivot, cls, key, len(values), not linked)
+                        _put(out, 1, pivot, cls, key, len(values), len(diff))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.bool_())], names=["kind", "pivot", "cls", "token", "size", "fresh"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32())], names=["kind", "pivot", "cls", "token", "size", "whole"])
 
-    return work.select("pivot", "salt", "cls", "expand", "head", "shingles").mapInArrow(run, "kind int, pivot binary, cls binary, token long, size int, fresh boolean")
+    return work.select("pivot", "salt", "cls", "expand", "head", "shingles").mapInArrow(tk.tidy(run), "kind int, pivot binary, cls binary, token long, size int, whole int")
+
+
+def _difference_prefixes(elements: DataFrame, percent: int) -> DataFrame:
+    """The prefix of every difference, rarest elements of the pivot's group first; elements of one difference only are left out."""
+    counted = elements.join(elements.groupBy("token").agg(F.count("*").alias("n")), "token")
+    place = Window.partitionBy("pivot", "cls").orderBy("n", "token")
+    ranked = counted.withColumn("pos", F.row_number().over(place) - 1)
+    any_size = F.col("size") + F.floor(F.col("size") * 100 / F.lit(percent))
+    allowed = F.floor(any_size * (100 - percent) / F.lit(100.0 + percent) + 1e-9)
+    return ranked.filter((F.col("pos") <= allowed) & (F.col("n") > 1)).select("token", "cls", "size", "pos", "whole")
 
 
 def _put(out, *values) -> None:
@@ -237,7 +266,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 values, begin = shingle_sets(offsets, data, n)
                 yield pa.RecordBatch.from_arrays([_binary16(_class_ids(values, begin)), _binaries(values, begin)], names=["cls", "shingles"])
 
-    return chosen.select("text").mapInArrow(run, "cls binary, shingles binary")
+    return chosen.select("text").mapInArrow(tk.tidy(run), "cls binary, shingles binary")
 
 
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,18 +282,21 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     rows = measured.filter(F.col("piece").isNull()).select("doc_id", "cls", "size")
     sketch = spark.sparkContext.broadcast(_merge_sketch(measured.filter(F.col("piece").isNotNull()).select("piece", "counts"), bits))
     reps = cut(rows.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0)).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    level = _prefix_rows(docs.filter(F.col("doc_id").isNotNull()), n, percent, bits, sketch).withColumn("fresh", F.lit(True))
+    level = _prefix_rows(docs.filter(F.col("doc_id").isNotNull()), n, percent, bits, sketch).withColumn("label", F.col("cls")).withColumn("whole", F.col("size"))
     links, first = None, True
     while True:
-        tasks = cut(_tasks(cut(_buckets(level)), percent, first))
+        tasks = cut(_tasks(cut(_buckets(level)), percent, SMALL_BUCKET if first else SMALL_DIFFERENCE_BUCKET))
         wanted = tasks.select("pivot").unionByName(tasks.select(F.col("cls").alias("pivot"))).distinct()
         wanted = cut(wanted.join(reps, wanted["pivot"] == reps["cls"]).select(F.col("rep").alias("doc_id")))
         found = cut(_verify(tasks, _sets(docs, wanted, n), percent))
         new = found.filter("kind = 0").select("pivot", "cls")
         links = new if links is None else links.unionByName(new)
-        level = found.filter("kind = 1").select("token", "cls", "size", F.lit(0).alias("pos"), "fresh")
+        level = cut(_difference_prefixes(found.filter("kind = 1"), percent))
         if not level.limit(1).count():
             break
+        # members of one component need no further link between them
+        known = components(links, "pivot", "cls").select(F.col("node").alias("cls"), "label")
+        level = level.join(cut(known), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         first = False
     named = links.join(reps.select(F.col("cls"), F.col("rep").alias("b")), "cls").join(reps.select(F.col("cls").alias("pivot"), F.col("rep").alias("a")), "pivot").select("a", "b")
     named = cut(named.distinct())
@@ -286,10 +318,19 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the members of a group other than the one of least id; rows without an id stay."""
-    groups = similar_groups(docs, n, percent)
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the members of a group other than the one of least id; of rows repeated as a whole one stays.
+
+    Rows without an id stay. An id is taken to name one text: where it names
+    several, they go or stay together.
+    """
+    groups = cut(similar_groups(docs, n, percent))
+    gone = cut(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    twice = cut(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    kept = docs.join(small_or_shuffled(gone), "doc_id", "left_anti")
+    if twice.limit(1).count():
+        many = small_or_shuffled(twice)
+        kept = kept.join(many, "doc_id", "left_anti").unionByName(kept.join(many, "doc_id", "left_semi").dropDuplicates())
+    return kept.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
