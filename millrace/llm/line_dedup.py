@@ -11,7 +11,10 @@ Defined results:
 * a null site counts for no line; a null doc_id is treated like any other id;
 * repeated rows and ties need no rule: the verdict depends on the line only;
 * lines that hold more than `max_share` of a document's characters are left in
-  place: such a document is a copy, which document-level dedup deals with;
+  place, as the registered query's SQL has it, whether the document is a copy or
+  a short page of boilerplate;
+* with max_share None every wide-spread line goes, and what whole copies spread
+  is held back at the count: a line needs min_sites distinct texts as well;
 * an empty table gives an empty table; extra columns pass through untouched.
 """
 
@@ -40,9 +43,9 @@ def _key(line: Column) -> Column:
 def line_table(docs: DataFrame, doc_col: str, text_col: str, site_col: str) -> DataFrame:
     """One row for each line that holds more than blanks."""
     return (
-        docs.select(F.col(doc_col).alias("__doc"), F.col(site_col).alias("__site"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("__line"))
+        docs.select(F.col(doc_col).alias("__doc"), F.col(site_col).alias("__site"), F.xxhash64(text_col).alias("__text"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("__line"))
         .filter(F.length(_stripped(F.col("__line"))) > 0)
-        .select("__doc", "__site", _key(F.col("__line")).alias("__key"))
+        .select("__doc", "__site", "__text", _key(F.col("__line")).alias("__key"))
     )
 
 
@@ -75,7 +78,7 @@ def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
 def remove_boilerplate(
     docs: DataFrame,
     min_sites: int = 10,
-    max_share: float = 0.5,
+    max_share: float | None = 0.5,
     doc_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
@@ -88,15 +91,19 @@ def remove_boilerplate(
     docs = docs.drop("line_count", "removed_lines")
     lines = line_table(docs, doc_col, text_col, site_col)
     keys = small_or_shuffled(cut(boilerplate_keys(lines, min_sites)))
+    if max_share is None:
+        texts = lines.filter(F.col("__site").isNotNull()).join(keys, "__key", "left_semi").select("__key", F.col("__text").alias("__site"))
+        keys = small_or_shuffled(cut(boilerplate_keys(texts, min_sites)))
     per_doc = lines.select("__doc", "__key").join(keys, "__key").groupBy("__doc").agg(F.collect_set("__key").alias("__spread"))
     split = F.split(F.col(text_col), "\n", -1)
     out = docs.join(per_doc, F.col(doc_col).eqNullSafe(F.col("__doc")), "left").drop("__doc")
     out = out.withColumn("__kept", F.when(F.col("__spread").isNull(), split).otherwise(
         F.filter(split, lambda line: (F.length(_stripped(line)) == 0) | ~F.array_contains(F.col("__spread"), _key(line)))
     ))
-    size = lambda parts: F.length(F.array_join(parts, ""))
-    mostly = (size(split) - size(F.col("__kept"))) > max_share * size(split)
-    out = out.withColumn("__kept", F.when(mostly, split).otherwise(F.col("__kept")))
+    if max_share is not None:
+        size = lambda parts: F.length(F.array_join(parts, ""))
+        mostly = (size(split) - size(F.col("__kept"))) > max_share * size(split)
+        out = out.withColumn("__kept", F.when(mostly, split).otherwise(F.col("__kept")))
     out = out.withColumn("line_count", F.coalesce(F.size(F.filter(split, lambda x: F.length(_stripped(x)) > 0)), F.lit(0)).cast("long"))
     out = out.withColumn("removed_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size("__kept")).cast("long"))
     out = out.withColumn(text_col, F.when(F.col("removed_lines") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col)))

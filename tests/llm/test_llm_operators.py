@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from millrace.llm import decontaminate, fixity, langid, licenses, line_dedup, ngram_join, packing, quality, suffix_dedup, toxicity
 from millrace.llm import textkit as tk
 
@@ -264,6 +265,18 @@ def test_line_dedup(spark, nothing):
     assert out.count() == 0 and out.columns.count("line_count") == 1
 
 
+def test_line_dedup_of_short_pages_and_copies(spark):
+    rows = [(i, f"shared header\nshared footer\nown {i}", f"site{i}") for i in range(6)]
+    rows += [(20 + i, "a text of two lines\nthat was copied whole", f"site{i}") for i in range(6)]
+    rows += [(40, "shared header\nshared footer", "site1"), (41, "shared footer\nx", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.removed_lines) for r in corpus_pipeline.line_dedup.remove_boilerplate(df, min_sites=5, max_share=None).collect()}
+    want = {i: (f"own {i}", 2) for i in range(6)} | {20 + i: (rows[6][1], 0) for i in range(6)}
+    assert got == want | {40: ("", 2), 41: ("x", 1)}
+    many = spark.createDataFrame([(i, f"shared header\nown {i}", f"site{i}") for i in range(12)], "doc_id long, text string, source string")
+    assert {r.text for r in corpus_pipeline.drop_boilerplate(spark, many, "").collect()} == {f"own {i}" for i in range(12)}
+
+
 BENCH = [
     (1, "A train leaves Boston at 40 km per hour and meets Alice after 3 hours near the old stone bridge by the river"),
     (2, "Compute the sum of all odd numbers below the given bound and explain each step of your reasoning in full"),
