@@ -201,10 +201,11 @@ def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     salted = tasks.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
     heads = salted.select("pivot", "salt").distinct().select("pivot", "salt", F.col("pivot").alias("cls"), F.lit(False).alias("expand"), F.lit(True).alias("head"))
     work = salted.select("pivot", "salt", "cls", "expand", F.lit(False).alias("head")).unionByName(heads).join(sets, "cls")
-    work = work.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("head").desc())
+    # a representative's row that repeats gives its set again; equal classes are next to each other, and only the first counts
+    work = work.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("head").desc(), "cls")
 
     def run(batches):
-        held, mine, own_hist = None, None, None
+        held, mine, own_hist, last = None, None, None, None
         edges = np.arange(1, RANGES, dtype=U64) << U64(60)
         hist = lambda x: np.diff(np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]))
         for b in batches:
@@ -213,10 +214,13 @@ def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for pivot, cls, expand, head, blob in zip(pivots.to_pylist(), classes.to_pylist(), expands.to_pylist(), heads.to_pylist(), blobs):
                 values = np.frombuffer(blob.as_buffer(), U64)
                 if head:
-                    held, mine, own_hist = pivot, values, hist(values)
+                    held, mine, own_hist, last = pivot, values, hist(values), None
                     continue
                 if held != pivot:
                     raise ValueError("a pair arrived without its pivot")
+                if cls == last:
+                    continue
+                last = cls
                 allowed = max_difference(len(values), len(mine), percent)
                 if not expand and np.abs(hist(values) - own_hist).sum() > allowed:
                     continue

@@ -88,6 +88,15 @@ def test_ngram_join(docs, monkeypatch, n, percent, small):
     assert kept.count(None) == 2
 
 
+def test_ngram_join_reads_repeated_rows_once(spark):
+    texts = ["one two three four five six seven eight", "one two three four five six other words"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts) for _ in range(3)], "doc_id long, text string")
+    sets = ngram_join._sets(df, df.select("doc_id").distinct(), 3)
+    a, b = sorted(bytes(r.cls) for r in sets.select("cls").distinct().collect())
+    found = ngram_join._verify(spark.createDataFrame([(a, b, True)], "pivot binary, cls binary, expand boolean"), sets, 40).collect()
+    assert len(found) == len({(r.kind, r.token) for r in found}) == 1 + len(shingles(texts[0], 3) ^ shingles(texts[1], 3))
+
+
 def test_ngram_join_of_nothing(nothing):
     assert ngram_join.similar_groups(nothing).count() == 0 == ngram_join.keep_one(nothing).count()
 
