@@ -19,9 +19,14 @@ Texts with one set of shingles form a class; everything below works on classes.
    difference, both lie within it of the pivot, since the sets differ in size
    by no more than the differences. So prefixes of the differences form new
    buckets, and steps 3 to 5 repeat on these. A bucket never holds its own
-   pivot's differences, so buckets shrink and the process ends. No pair of
-   different sets that is similar is lost, and a group of k near copies costs
-   about k comparisons, not k * k.
+   pivot's differences, so buckets shrink and the process ends. The links
+   found this way connect every component, and a group of k near copies costs
+   about k comparisons, not k * k; they need not be all links of a component.
+6. Links are counted in full once components are known, as similar classes lie
+   in one component. Every class is written as its difference from the least
+   class; |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, so all pairs of two blocks of
+   classes are judged by products of their incidence matrices. This takes
+   k * k / 2 pairs for a component of k classes, whatever their similarity.
 
 Similarity is exact in integers: percent * union <= 100 * intersection.
 
@@ -52,6 +57,10 @@ U64 = np.uint64
 SMALL_BUCKET = 24
 SMALL_DIFFERENCE_BUCKET = 512
 SALTS = 16
+#: Classes of a component in a block for counting links, on average.
+LINK_BLOCK = 512
+#: Columns of an incidence matrix at a time.
+LINK_COLUMNS = 2048
 #: Counters of the frequency sketch, as powers of two: sixteen for each document within these bounds. Tasks send
 #: them compressed, which takes no more than a few bits for each shingle that a task has read.
 SKETCH_BITS = (18, 24)
@@ -273,11 +282,97 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return chosen.select("text").mapInArrow(tk.tidy(run), "cls binary, shingles binary")
 
 
-def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _from_pivots(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, cls, diff): the difference of every member from the pivot of its component."""
+    salted = members.select("pivot", "cls", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(False).alias("head"))
+    heads = salted.select("pivot", F.col("pivot").alias("cls"), "salt", F.lit(True).alias("head")).distinct()
+    work = salted.unionByName(heads).join(sets, "cls")
+    work = work.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("head").desc(), "cls")
+
+    def run(batches):
+        held, mine, last = None, None, None
+        for b in batches:
+            out = ([], [], [])
+            pivots, classes, heads, blobs = (b.column(b.schema.get_field_index(c)) for c in ("pivot", "cls", "head", "shingles"))
+            for pivot, cls, head, blob in zip(pivots.to_pylist(), classes.to_pylist(), heads.to_pylist(), blobs):
+                values = np.frombuffer(blob.as_buffer(), U64)
+                if head:
+                    held, mine, last = pivot, values, None
+                    continue
+                if held != pivot:
+                    raise ValueError("a member arrived without its pivot")
+                if cls != last:
+                    _put(out, pivot, cls, np.setxor1d(mine, values, assume_unique=True).tobytes())
+                last = cls
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["pivot", "cls", "diff"])
+
+    return work.select("pivot", "salt", "cls", "head", "shingles").mapInArrow(tk.tidy(run), "pivot binary, cls binary, diff binary")
+
+
+def _linked(sizes: np.ndarray, diffs: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each class of `left` is similar to each of `right`; both hold positions in sizes and diffs."""
+    count = np.array([len(d) for d in diffs])
+    row = np.repeat(np.arange(len(diffs)), count)
+    _, column, seen = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
+    shared = np.cumsum(seen > 1) - 1  # an element of one difference is common to no pair
+    keep = seen[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, LINK_COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + LINK_COLUMNS]))
+        held = np.zeros((len(diffs), int(column[part][-1]) - lo + 1), np.float32)
+        held[row[part], column[part] - lo] = 1
+        common += np.rint(held[left] @ held[right].T).astype(np.int64)
+    apart = count[left][:, None] + count[right][None] - 2 * common
+    return apart <= max_difference(sizes[left][:, None], sizes[right][None], percent)
+
+
+def _count_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """(cls, n_links) of members, rows (pivot, cls, rep, size) with one pivot for each component: all links of a class with other classes."""
+    diffs = cut(_from_pivots(members, _sets(docs, members.select(F.col("rep").alias("doc_id")), n)))
+    parts = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(LINK_BLOCK)).cast("int").alias("parts"))
+    many = small_or_shuffled(cut(parts.filter("parts > 1")))
+    rows = diffs.join(members.select("cls", "size"), "cls").join(many, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("pivot", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "size", "diff")
+    rows = rows.repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi")
+
+    def run(batches):
+        key, group = None, []
+
+        def flush():
+            sizes, part = np.array([g[2] for g in group]), np.array([g[0] for g in group])
+            left, right = np.flatnonzero(part == key[1]), np.flatnonzero(part == key[2])
+            near = _linked(sizes, [np.frombuffer(g[3], U64) for g in group], left, right, percent)
+            if key[1] == key[2]:
+                np.fill_diagonal(near, False)
+                links = near.sum(1)
+            else:
+                links = np.zeros(len(group), np.int64)
+                links[left], links[right] = near.sum(1), near.sum(0)
+            return pa.RecordBatch.from_arrays([pa.array([g[1] for g in group], pa.binary()), pa.array(links.astype(np.int64))], names=["cls", "links"])
+
+        for b in batches:
+            for *now, part, cls, size, diff in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
+                if now != key:
+                    if group:
+                        yield flush()
+                    key, group = now, []
+                group.append((part, cls, size, diff))
+        if group:
+            yield flush()
+
+    return rows.mapInArrow(tk.tidy(run), "cls binary, links long").groupBy("cls").agg(F.sum("links").alias("n_links"))
+
+
+def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """Per row: doc_id, n_shingles, class_id (least id with the same set), component_id, n_links.
 
-    n_links counts verified links of the class with other classes, among the
-    links needed to connect its component.
+    n_links counts all other classes that are similar to the row's class. With
+    count_links off the column is left out; components do not need it.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -285,7 +380,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     measured = cut(_measure(docs, n, bits))
     rows = measured.filter(F.col("piece").isNull()).select("doc_id", "cls", "size")
     sketch = spark.sparkContext.broadcast(_merge_sketch(measured.filter(F.col("piece").isNotNull()).select("piece", "counts"), bits))
-    reps = cut(rows.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0)).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    reps = cut(rows.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0)).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size")))
     level = _prefix_rows(docs.filter(F.col("doc_id").isNotNull()), n, percent, bits, sketch).withColumn("label", F.col("cls")).withColumn("whole", F.col("size"))
     links, first = None, True
     while True:
@@ -305,10 +400,16 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     named = links.join(reps.select(F.col("cls"), F.col("rep").alias("b")), "cls").join(reps.select(F.col("cls").alias("pivot"), F.col("rep").alias("a")), "pivot").select("a", "b")
     named = cut(named.distinct())
     comps = components(named, "a", "b")
-    degree = named.select(F.col("a").alias("node")).unionByName(named.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    groups = comps.join(degree, "node", "left")
+    groups = cut(comps.join(reps.select(F.col("rep").alias("node"), "cls", "size"), "node"))
+    if count_links:
+        heads = groups.filter("node = label").groupBy("label").agg(F.min("cls").alias("pivot"))
+        members = cut(groups.join(heads, "label").select("pivot", "cls", F.col("node").alias("rep"), "size"))
+        groups = groups.join(_count_links(docs, members, n, percent), "cls")
+    else:
+        groups = groups.withColumn("n_links", F.lit(0))
+    groups = groups.select(F.col("cls").alias("linked"), "node", "label", "n_links")
     # classes of one row that link with nothing need no join; the others are spread over salts
-    shared = reps.join(groups, reps["rep"] == groups["node"], "left").filter((F.col("copies") > 1) | F.col("node").isNotNull())
+    shared = reps.join(groups, reps["cls"] == groups["linked"], "left").filter((F.col("copies") > 1) | F.col("node").isNotNull())
     shared = shared.select("cls", "rep", F.coalesce("label", "rep").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(shared, ["cls", "salt"], "left")
     empty = F.col("size") == 0
@@ -317,7 +418,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         F.col("size").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.coalesce("rep", "doc_id")).alias("class_id"),
         F.when(empty, F.col("doc_id")).otherwise(F.coalesce("label", "doc_id")).alias("component_id"),
-        F.when(empty, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+        *([F.when(empty, F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")] if count_links else []),
     )
 
 
@@ -327,7 +428,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows without an id stay. An id is taken to name one text: where it names
     several, they go or stay together.
     """
-    groups = cut(similar_groups(docs, n, percent))
+    groups = cut(similar_groups(docs, n, percent, count_links=False))
     gone = cut(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     twice = cut(groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     kept = docs.join(small_or_shuffled(gone), "doc_id", "left_anti")

@@ -88,6 +88,19 @@ def test_ngram_join(docs, monkeypatch, n, percent, small):
     assert kept.count(None) == 2
 
 
+@pytest.mark.parametrize("small,block", [(2, 4), (24, 512)])
+def test_ngram_join_counts_every_link(docs, monkeypatch, small, block):
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", small)
+    monkeypatch.setattr(ngram_join, "SMALL_DIFFERENCE_BUCKET", small)
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LINK_COLUMNS", 8 * block)
+    sets = {i: shingles(t, 5) for i, t in ROWS if i is not None}
+    classes = set(sets.values())
+    want = {i: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in classes if y) if x else 0 for i, x in sets.items()}
+    got = {r.doc_id: r.n_links for r in ngram_join.similar_groups(docs, 5, 80).collect() if r.doc_id is not None}
+    assert got == want and max(want.values()) > 4
+
+
 def test_ngram_join_reads_repeated_rows_once(spark):
     texts = ["one two three four five six seven eight", "one two three four five six other words"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts) for _ in range(3)], "doc_id long, text string")
