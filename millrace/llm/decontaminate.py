@@ -13,11 +13,13 @@ window count is bounded, each broadcast and held against all rows.
 
 Fixed meanings: a number is a word with a digit; a unit is one of UNITS right
 after a number; a name is a capitalised word that does not open a sentence.
-Windows with fewer literal words than half their width are not used, as
-placeholders alone say nothing. An item shorter than WIDTH is one window.
+Windows with fewer literal words than half their width are hashed by their
+literal words instead, as placeholders alone say nothing: such passages are
+found where they are copied, whatever they consist of, but not with other
+values. An item shorter than WIDTH is one window.
 
-Defined results: null or empty text has no hits; an item without a usable
-window is never found; ties between items go to the higher coverage, then the
+Defined results: null or empty text has no hits; coverage is the greater of the
+share of all windows and the share of template windows; ties between items go to the higher coverage, then the
 smaller id; repeated rows give equal results; a null benchmark text is
 ignored; an empty benchmark leaves everything clean.
 """
@@ -108,6 +110,11 @@ def _unit_hashes() -> np.ndarray:
     return _units
 
 
+def _literal_key(h: np.ndarray) -> np.ndarray:
+    """Keys of windows of literal words, apart from those of templates."""
+    return tk.mix(h ^ U64(0x9FB21C651E98DF25))
+
+
 class Block:
     """Windows of a block of items, sorted by hash."""
 
@@ -126,19 +133,23 @@ class Block:
         slots = np.concatenate([[0], np.cumsum(slot)])
         at = first[item] + pos if len(item) else np.zeros(0, np.int64)
         usable = 2 * (slots[at + size] - slots[at]) <= size
-        order = np.argsort(hashes[usable], kind="stable")
-        self.hashes, self.item, self.pos, self.size = (x[usable][order] for x in (hashes, item, pos, size))
+        hashes = np.where(usable, hashes, _literal_key(tk.window_hash(literal, first, width)[0]))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.item, self.pos, self.size, self.usable = (x[order] for x in (hashes, item, pos, size, usable))
         self.total = np.bincount(self.item, minlength=len(ids))
+        self.templates = np.bincount(self.item[self.usable], minlength=len(ids))
+        self.rich = not usable.all()
         self.ids, self.literal, self.slot, self.first = ids, literal, slot, first
         self.widths = np.unique(self.size).tolist()
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.hashes >> U64(48)).astype(np.int64)] = True
 
-    def hits(self, code: np.ndarray, first: np.ndarray):
-        """(text, word, item, item word, width) of every window that matches."""
+    def hits(self, code: np.ndarray, literal: np.ndarray, first: np.ndarray):
+        """(text, word, item, item word, width, template) of every window that matches; template is 0 for a match of literal words."""
         out = []
-        for width in self.widths:
-            h, begin = tk.window_hash(code, first, width)
+        for width, template in [(w, t) for w in self.widths for t in ((True, False) if self.rich else (True,))]:
+            h, begin = tk.window_hash(code if template else literal, first, width)
+            h = h if template else _literal_key(h)
             text = np.repeat(np.arange(len(first) - 1), np.diff(begin))
             maybe = np.flatnonzero(self.seen[(h >> U64(48)).astype(np.int64)])
             maybe = maybe[np.diff(first)[text[maybe]] >= width]
@@ -146,11 +157,11 @@ class Block:
             n = hi - lo
             src = np.repeat(maybe, n)
             row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            ok = self.size[row] == width
+            ok = (self.size[row] == width) & (self.usable[row] == template)
             src, row = src[ok], row[ok]
             word = first[text[src]] + src - begin[text[src]]
-            out.append(np.stack([text[src], word, self.item[row], self.pos[row], np.full(len(row), width)], 1))
-        return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+            out.append(np.stack([text[src], word, self.item[row], self.pos[row], np.full(len(row), width), self.usable[row]], 1))
+        return np.concatenate(out) if out else np.zeros((0, 6), np.int64)
 
 
 def _one_to_one(a: np.ndarray, b: np.ndarray) -> bool:
@@ -158,10 +169,17 @@ def _one_to_one(a: np.ndarray, b: np.ndarray) -> bool:
     return len(np.unique(pairs[:, 0])) == len(pairs) == len(np.unique(pairs[:, 1]))
 
 
+def _share(block: Block, item: int, hits: np.ndarray) -> float:
+    """Share of the item's windows found: of all, or of its templates where that is more."""
+    found = len(np.unique(hits[:, 3])) / block.total[item]
+    templates = hits[hits[:, 5] == 1, 3]
+    return max(found, len(np.unique(templates)) / block.templates[item]) if len(templates) else found
+
+
 def judge(block: Block, offsets: np.ndarray, data: np.ndarray, coverage: float) -> list[tuple[int, object, float, bool]]:
     """(text, item id, coverage, slots equal) of every item found."""
     code, literal, slot, first = canonical(offsets, data)
-    hits = block.hits(code, first)
+    hits = block.hits(code, literal, first)
     if not len(hits):
         return []
     shift = hits[:, 1] - hits[:, 3]
@@ -172,7 +190,7 @@ def judge(block: Block, offsets: np.ndarray, data: np.ndarray, coverage: float)
     for lo, hi in zip(edge, np.append(edge[1:], len(hits))):
         group = hits[lo:hi]
         text, item = int(group[0, 0]), int(group[0, 2])
-        share = len(np.unique(group[:, 3])) / block.total[item]
+        share = _share(block, item, group)
         if share < coverage:
             continue
         words = np.unique((group[:, 3][:, None] + np.arange(group[0, 4])).ravel())

@@ -335,6 +335,21 @@ def test_decontamination(spark, docs):
     assert decontaminate.keep_clean(df, bench.limit(0)).count() == len(texts)
 
 
+def _judged(items, text):
+    import pyarrow as pa
+
+    block = decontaminate.Block(list(range(len(items))), items, decontaminate.WIDTH)
+    offsets, data = tk.column_bytes(pa.array([text]))
+    return {item: share for _, item, share, _ in decontaminate.judge(block, offsets, data, decontaminate.COVERAGE)}
+
+
+def test_items_rich_in_slots_are_found_where_copied():
+    items = ["12 34 56 78 90 12 34 56 78 91 11", "List: Anna Ben Carl Dora Emil Frieda Georg Hanna Ida Jakob", "3 cm 4 kg", "add 1 2 3 4 5 6 7 8 9 10 11 to the sum of all of the numbers above"]
+    for k, item in enumerate(items):
+        assert _judged(items, f"some words before {item} and after it") == {k: 1.0}
+    assert _judged(items, "10 34 56 78 90 10 34 56 78 95 19") == {}
+
+
 def test_slots_must_map_one_to_one(spark):
     item = "First Alice gave Bob the red box and then Alice asked Bob for the blue box again"
     swapped = item.replace("then Alice", "then Carol")
