@@ -8,6 +8,13 @@ windows found is the coverage, and the values in the slots must map one to one
 between item and text. An item is found where both hold, so a question that
 was given other names and numbers is found too.
 
+Words put in or left out shift what follows, so runs of hits are chained in
+order over shifts that differ by no more than SLACK. A chain is found by its
+windows (COVERAGE), or by its words: those of the windows, and those in its
+gaps and at its ends that a longest common subsequence matches (WORD_SHARE). A
+run of RUN words that match in one piece is found whatever its share. An edited
+passage without WIDTH words in a row that match is not seen.
+
 The benchmark is a query set: it is walked in blocks of whole items whose
 window count is bounded, each broadcast and held against all rows.
 
@@ -36,6 +43,10 @@ from millrace.llm import textkit as tk
 
 WIDTH = 8
 COVERAGE = 0.6
+#: Share of an item's words that an edited copy keeps in order, words in a row that are a leak by themselves, words that an edit puts in or leaves out.
+WORD_SHARE, RUN, SLACK = 0.8, 13, 8
+#: Cells of the table of a gap's common subsequence; larger gaps are held word by word against their place.
+GAP_CELLS = 1_000_000
 #: Characters of benchmark text in a block; a block has fewer windows than half of this.
 BLOCK_CHARS = 8_000_000
 U64 = np.uint64
@@ -139,7 +150,7 @@ class Block:
         self.total = np.bincount(self.item, minlength=len(ids))
         self.templates = np.bincount(self.item[self.usable], minlength=len(ids))
         self.rich = not usable.all()
-        self.ids, self.literal, self.slot, self.first = ids, literal, slot, first
+        self.ids, self.code, self.literal, self.slot, self.first = ids, code, literal, slot, first
         self.widths = np.unique(self.size).tolist()
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.hashes >> U64(48)).astype(np.int64)] = True
@@ -187,23 +198,133 @@ def judge(block: Block, offsets: np.ndarray, data: np.ndarray, coverage: float)
     hits, shift = hits[order], shift[order]
     edge = np.flatnonzero(np.concatenate([[True], (hits[1:, 0] != hits[:-1, 0]) | (hits[1:, 2] != hits[:-1, 2]) | (shift[1:] != shift[:-1])]))
     best: dict[tuple[int, int], tuple[float, bool]] = {}
+
+    def keep(text: int, item: int, group: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> bool:
+        """Notes an alignment, words `ours` of the item to `theirs` of the text, if its slots map one to one."""
+        slots = block.slot[ours]
+        a, b = block.literal[ours[slots]], literal[theirs[slots]]
+        if len(a) and not _one_to_one(a, b):
+            return False
+        found = (_share(block, item, group), bool((a == b).all()))
+        best[text, item] = max(best.get((text, item), (0.0, False)), found)
+        return True
+
     for lo, hi in zip(edge, np.append(edge[1:], len(hits))):
         group = hits[lo:hi]
         text, item = int(group[0, 0]), int(group[0, 2])
-        share = _share(block, item, group)
-        if share < coverage:
+        if _share(block, item, group) >= coverage:
+            words = np.unique((group[:, 3][:, None] + np.arange(group[0, 4])).ravel())
+            keep(text, item, group, block.first[item] + words, shift[lo] + words)
+    pairs = np.flatnonzero(np.concatenate([[True], (hits[1:, 0] != hits[:-1, 0]) | (hits[1:, 2] != hits[:-1, 2])]))
+    for lo, hi in zip(pairs, np.append(pairs[1:], len(hits))):
+        text, item = int(hits[lo, 0]), int(hits[lo, 2])
+        if best.get((text, item), (0.0, False))[0] == 1.0:
             continue
-        words = np.unique((group[:, 3][:, None] + np.arange(group[0, 4])).ravel())
-        ours, theirs = block.first[item] + words, shift[lo] + words
-        ours, theirs = (x[block.slot[ours]] for x in (ours, theirs))
-        a, b = block.literal[ours], literal[theirs]
-        if len(a) and not _one_to_one(a, b):
-            continue
-        found = (share, bool((a == b).all()))
-        best[text, item] = max(best.get((text, item), (0.0, False)), found)
+        runs = _runs(hits[lo:hi])
+        at, size, width = block.first[item], block.first[item + 1] - block.first[item], int(hits[lo, 4])
+        for run in runs:
+            words = np.arange(run[0, 3], run[-1, 3] + width)
+            ours, theirs = at + words, run[0, 1] - run[0, 3] + words
+            if len(words) >= RUN and not keep(text, item, run, ours, theirs):
+                same = np.concatenate([[0], block.literal[ours] == literal[theirs], [0]]).astype(np.int8)
+                starts, ends = np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1)
+                for x, y in zip(starts, ends):
+                    if y - x >= RUN:
+                        inside = (run[:, 3] >= words[x]) & (run[:, 3] + width <= words[x] + y - x)
+                        keep(text, item, run[inside], ours[x:y], theirs[x:y])
+        for chain in _chains(runs):
+            group = np.concatenate(chain)
+            ours, theirs = _chain_words(chain, width)
+            if _share(block, item, group) < coverage:
+                ours, theirs = _fill(ours, theirs, block.code[at : at + size], code[first[text] : first[text + 1]], first[text])
+                if len(ours) < WORD_SHARE * size:
+                    continue
+            keep(text, item, group, at + ours, theirs)
     return [(text, block.ids[item], share, same) for (text, item), (share, same) in best.items()]
 
 
+def _runs(hits: np.ndarray) -> list[np.ndarray]:
+    """Hits of one text and item, by shift and place, in runs of consecutive windows at one shift."""
+    shift = hits[:, 1] - hits[:, 3]
+    edge = np.flatnonzero((shift[1:] != shift[:-1]) | (hits[1:, 3] != hits[:-1, 3] + 1)) + 1
+    return np.split(hits, edge)
+
+
+def _chains(runs: list[np.ndarray]):
+    """The longest chain of runs that ends at each run which no longer chain goes on from; each is a list of runs, trimmed where they overlap."""
+    runs = sorted(runs, key=lambda r: (r[0, 3], r[0, 1]))
+    start, end = np.array([r[0, [3, 1]] for r in runs]), np.array([r[-1, [3, 1]] for r in runs])
+    shift = start[:, 1] - start[:, 0]
+    total, before, cut = np.zeros(len(runs), np.int64), np.full(len(runs), -1), np.zeros(len(runs), np.int64)
+    for k in range(len(runs)):
+        size = len(runs[k])
+        total[k] = size
+        if k:
+            trim = np.maximum(0, np.max(end[:k] + 1 - start[k], 1))
+            gain = np.where((np.abs(shift[:k] - shift[k]) <= SLACK) & (trim < size), total[:k] + size - trim, 0)
+            j = int(np.argmax(gain))
+            if gain[j] > size:
+                total[k], before[k], cut[k] = gain[j], j, trim[j]
+    for k in np.setdiff1d(np.arange(len(runs)), before):
+        chain = []
+        while k >= 0:
+            chain.append(runs[k][cut[k] :])
+            k = before[k]
+        yield chain[::-1]
+
+
+def _chain_words(chain: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the item, and of the text, that a chain's windows match; both ascend."""
+    ours, theirs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for run in chain:
+        words = np.arange(run[0, 3], run[-1, 3] + width)
+        there = words + run[0, 1] - run[0, 3]
+        if len(ours):
+            new = (words > ours[-1]) & (there > theirs[-1])
+            words, there = words[new], there[new]
+        ours, theirs = np.concatenate([ours, words]), np.concatenate([theirs, there])
+    return ours, theirs
+
+
+def _fill(ours, theirs, item: np.ndarray, text: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chain's words with those that match in its gaps and at its ends; theirs counts from base before the text."""
+    theirs = theirs - base
+    gaps = [(0, ours[0], max(0, theirs[0] - ours[0] - SLACK), theirs[0])]
+    gaps += [(ours[k] + 1, ours[k + 1], theirs[k] + 1, theirs[k + 1]) for k in np.flatnonzero((np.diff(ours) > 1) & (np.diff(theirs) > 1))]
+    gaps.append((ours[-1] + 1, len(item), theirs[-1] + 1, min(len(text), theirs[-1] + len(item) - ours[-1] + SLACK)))
+    more = [(ours, theirs)]
+    for k, (a, b, c, d) in enumerate(gaps):
+        if a < b and c < d:
+            x, y = _common(item[a:b], text[c:d], k == 0)
+            more.append((a + x, c + y))
+    ours, theirs = (np.concatenate(x) for x in zip(*more))
+    order = np.argsort(ours, kind="stable")
+    return ours[order], theirs[order] + base
+
+
+def _common(a: np.ndarray, b: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a longest common subsequence of a and b; of the words at equal distance from an end where both are very long."""
+    if len(a) * len(b) > GAP_CELLS:
+        n = min(len(a), len(b))
+        x, y = (len(a) - n, len(b) - n) if right else (0, 0)
+        same = np.flatnonzero(a[x : x + n] == b[y : y + n])
+        return x + same, y + same
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a)):
+        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], np.where(b == a[i], best[i, :-1] + 1, 0)))
+    x, y, i, j = [], [], len(a), len(b)
+    while i and j:
+        if best[i, j] == best[i - 1, j]:
+            i -= 1
+        elif best[i, j] == best[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            x.append(i)
+            y.append(j)
+    return np.array(x[::-1], np.int64), np.array(y[::-1], np.int64)
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
     """Whole items in blocks of bounded size, dealt by the hash of the id."""
     items = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -350,6 +350,19 @@ def test_items_rich_in_slots_are_found_where_copied():
     assert _judged(items, "10 34 56 78 90 10 34 56 78 95 19") == {}
 
 
+def test_edited_and_partial_items_are_found():
+    w = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(38)]
+    item, short = " ".join(w), " ".join(w[:16])
+    around = lambda x: "noise stands before " + " ".join(x) + " and some after"
+    edits = [w[:19] + ["new"] + w[19:], w[:19] + w[20:], w[:12] + ["x"] + w[13:25] + ["y"] + w[26:], w[:19], w[19:], w[:9] + ["x", "y"] + w[9:20] + w[21:30] + ["z"] + w[31:]]
+    for edit in edits:
+        assert list(_judged([item], around(edit))) == [0], edit
+    assert _judged([item], around(edits[0]))[0] == pytest.approx(24 / 31)
+    assert list(_judged([short], around(w[:7] + ["x"] + w[8:16]))) == [0]
+    assert _judged([item], around(w[:10])) == {} == _judged([short], around(w[:8] + ["x", "y", "z"]))
+    assert _judged([item], around(w[20:30] + ["x"] * 9 + w[:10])) == {}
+
+
 def test_slots_must_map_one_to_one(spark):
     item = "First Alice gave Bob the red box and then Alice asked Bob for the blue box again"
     swapped = item.replace("then Alice", "then Carol")
