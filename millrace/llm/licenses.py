@@ -7,6 +7,11 @@ bigrams, so sizes prune templates before anything is counted, and only
 segments that share a bigram with a template are looked at. Bigrams count as
 often as they occur.
 
+With `anywhere`, as in the registered query, notices are looked for among all
+runs of words instead, over lines and paragraphs. A best run starts and ends on
+a bigram of the template, so only runs between two of those are scored; of runs
+that overlap, the one with the greatest coefficient counts for a template.
+
 Defined results: null or empty text has no matches; a one-word segment has no
 bigram and matches nothing; ties go to the template listed first, then to the
 earlier segment; repeated rows give equal results; extra columns pass through.
@@ -14,6 +19,8 @@ earlier segment; repeated rows give equal results; extra columns pass through.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import textkit as tk
-from millrace.llm.decontaminate import canonical
+from millrace.llm.decontaminate import _fold, canonical
 
 U64 = np.uint64
 DICE = 0.85
@@ -115,14 +122,58 @@ def scan_block(t: Templates, offsets: np.ndarray, data: np.ndarray, dice: float)
     return sorted(out.values())
 
 
+def scan_windows(t: Templates, offsets: np.ndarray, data: np.ndarray, dice: float) -> list[tuple[int, int, int, int, float]]:
+    """(text, template, start byte, end byte, coefficient) of the runs of words anywhere that reach dice, the best of those that overlap."""
+    begin, end, first = tk.core_words(offsets, data)
+    literal = tk.span_hash(tk.prefix_hash(_fold(data)), begin, end)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    if len(literal) < 2:
+        return []
+    grams = tk.mix(literal[:-1] * U64(0xD6E8FEB86659FD93) + literal[1:])
+    near = np.flatnonzero(t.seen[(grams >> U64(48)).astype(np.int64)] & (text[1:] == text[:-1]))
+    lo, hi = np.searchsorted(t.gram, grams[near], "left"), np.searchsorted(t.gram, grams[near], "right")
+    n = hi - lo
+    row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    word, tpl = np.repeat(near, n), t.owner[row]
+    out = []
+    for k in np.unique(tpl):
+        mine = tpl == k
+        at, gram, size = word[mine], row[mine], int(t.size[k])
+        need, longest = -int((1e-9 - dice * size / (2 - dice)) // 1), int((2 - dice) * size / dice + 1e-9)
+        if need > len(at):
+            continue
+        # only where enough shared bigrams lie close together
+        head = np.flatnonzero((at[need - 1 :] - at[: len(at) - need + 1] < longest) & (text[at[need - 1 :]] == text[at[: len(at) - need + 1]]))
+        found = []
+        for i in head.tolist():
+            seen, shared = {}, 0
+            for j in range(i, min(len(at), i + longest)):
+                length = int(at[j] - at[i]) + 1
+                if length > longest or text[at[j]] != text[at[i]]:
+                    break
+                g = int(gram[j])
+                seen[g] = seen.get(g, 0) + 1
+                shared += seen[g] <= t.count[g]
+                if 2 * shared >= dice * (length + size):
+                    found.append((-2 * shared / (length + size), int(at[i]), int(at[j]) + 1))
+        taken: list[tuple[int, int]] = []
+        for score, a, b in sorted(found):
+            at_place = bisect.bisect(taken, (a, b))
+            if (at_place == 0 or taken[at_place - 1][1] < a) and (at_place == len(taken) or taken[at_place][0] > b):
+                taken.insert(at_place, (a, b))
+                i = int(text[a])
+                out.append((i, int(k), int(begin[a] - offsets[i]), int(end[b] - offsets[i]), -score))
+    return sorted(out)
+
+
 def _blank_between(data: np.ndarray, newline: np.ndarray) -> np.ndarray:
     """Whether a newline is followed by another with blanks only between."""
     ink = np.concatenate([[0], np.cumsum(~tk.IS_SPACE[data])])
     return ink[newline[1:]] == ink[newline[:-1]]
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, dice: float = DICE, text_col: str = "text") -> DataFrame:
-    """docs with license_matches added: array of (license, template, start, end, dice), by place; a column of docs with this name is replaced."""
+def scan(docs: DataFrame, templates=TEMPLATES, dice: float = DICE, text_col: str = "text", anywhere: bool = False) -> DataFrame:
+    """docs with license_matches added: array of (license, template, start, end, dice), by place, of lines and paragraphs or of runs of words anywhere; a column of docs with this name is replaced."""
     docs = docs.drop("license_matches")
     kind = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("dice", T.DoubleType())]))
     arrow = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("dice", pa.float64())]))
@@ -134,7 +185,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, dice: float = DICE, text_col: str
         for b in batches:
             found = [[] for _ in range(b.num_rows)]
             for lo, _, offsets, data in tk.blocks(b.column(at)):
-                for text, k, start, end, v in scan_block(t, offsets, data, dice):
+                for text, k, start, end, v in (scan_windows if anywhere else scan_block)(t, offsets, data, dice):
                     found[lo + text].append({"license": t.names[k], "template": k, "start": start, "end": end, "dice": v})
             for x in found:
                 x.sort(key=lambda m: (m["start"], m["template"]))
@@ -147,7 +198,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     m = F.col("license_matches")
     best = F.get(F.array_sort(F.transform(m, lambda x: F.struct((-x["dice"]).alias("d"), x["template"].alias("t"), x["start"].alias("s"), x["license"].alias("l")))), F.lit(0))
-    return scan(docs).select(
+    return scan(docs, anywhere=True).select(
         "doc_id",
         F.size(m).cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["license"]))), ",").alias("licenses"),

@@ -397,6 +397,24 @@ def test_license_scan_matches_brute_force(spark, docs):
     assert licenses.scan(docs).count() == len(ROWS)
 
 
+def test_licenses_inside_and_across_lines(spark, tmp_path):
+    apache = licenses.TEMPLATES[1][1]
+    texts = {
+        1: ("This project is licensed under the MIT License.", "MIT"),
+        2: ("Copyright 2020 Foo. Licensed under the MIT License.", "MIT"),
+        3: (apache.replace(" You may", "\n\nYou may").replace(" Unless", "\n\n Unless").replace(" See", "\n\nSee"), "Apache-2.0"),
+        4: ("Released under\nthe MIT License. And then a long line of prose goes on about other things\nwithout end", "MIT"),
+        5: ("the license of all of the rights under which this work is not reserved", ""),
+        6: ("All rights reserved. Some words. All rights reserved.", "Proprietary"),
+        7: ("# " + licenses.TEMPLATES[4][1].replace(" ", "\n# ", 40), "MIT"),
+        8: (None, ""),
+    }
+    spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in licenses.query(spark, str(tmp_path)).collect()}
+    assert {i: r.licenses for i, r in got.items()} == {i: want for i, (_, want) in texts.items()}
+    assert got[6].n_matches == 2 and got[3].best_dice == 1.0
+
+
 def test_fixity(spark):
     pages = [(i, f"http://a/{i % 7}", f"<p>{i}</p>" * (i % 5)) for i in range(300)] + [(None, "u", None), (5, None, "x"), (9, "http://a/2", "dup"), (9, "http://a/2", "dup")]
     schema = "page_id long, url string, html string"
