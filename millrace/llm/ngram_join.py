@@ -57,7 +57,8 @@ U64 = np.uint64
 SMALL_BUCKET = 24
 SMALL_DIFFERENCE_BUCKET = 512
 SALTS = 16
-#: Classes of a component in a block for counting links, on average.
+#: Classes of a component in a block for counting links, on average: a sixteenth of it, within these bounds.
+LEAST_BLOCK = 128
 LINK_BLOCK = 512
 #: Columns of an incidence matrix at a time.
 LINK_COLUMNS = 2048
@@ -65,6 +66,8 @@ LINK_COLUMNS = 2048
 #: them compressed, which takes no more than a few bits for each shingle that a task has read.
 SKETCH_BITS = (18, 24)
 RANGES = 16
+#: Elements of differences that a task holds before it puts them out.
+FLUSH = 50_000
 
 
 def shingle_sets(offsets, data, n: int):
@@ -217,13 +220,13 @@ def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         held, mine, own_hist, last = None, None, None, None
         edges = np.arange(1, RANGES, dtype=U64) << U64(60)
         hist = lambda x: np.diff(np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]))
+        out = _Rows()
         for b in batches:
-            out = ([], [], [], [], [], [])
             pivots, classes, expands, heads, blobs = (b.column(b.schema.get_field_index(c)) for c in ("pivot", "cls", "expand", "head", "shingles"))
             for pivot, cls, expand, head, blob in zip(pivots.to_pylist(), classes.to_pylist(), expands.to_pylist(), heads.to_pylist(), blobs):
                 values = np.frombuffer(blob.as_buffer(), U64)
                 if head:
-                    held, mine, own_hist, last = pivot, values, hist(values), None
+                    held, mine, own_hist, last = pivot, values.copy(), hist(values), None
                     continue
                 if held != pivot:
                     raise ValueError("a pair arrived without its pivot")
@@ -236,24 +239,45 @@ def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 merged = np.concatenate([mine, values])
                 merged.sort(kind="stable")
                 twin = merged[1:] == merged[:-1]
-                apart = len(merged) - 2 * int(twin.sum())
-                linked = apart <= allowed
-                if linked:
-                    _put(out, 0, pivot, cls, 0, len(values), 0)
+                if len(merged) - 2 * int(twin.sum()) <= allowed:
+                    out.add(0, pivot, cls, _NO_KEY, len(values), 0)
                 if expand:
                     single = np.ones(len(merged), bool)
                     single[1:] &= ~twin
                     single[:-1] &= ~twin
                     diff = merged[single]
-                    salt = U64(int.from_bytes(pivot[:8], "little"))
-                    for key in tk.mix(diff ^ salt).view(np.int64).tolist():
-                        _put(out, 1, pivot, cls, key, len(values), len(diff))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.int32())], names=["kind", "pivot", "cls", "token", "size", "whole"])
+                    out.add(1, pivot, cls, tk.mix(diff ^ U64(int.from_bytes(pivot[:8], "little"))), len(values), len(diff))
+                if out.elements >= FLUSH:
+                    yield out.flush()
+            if out.elements:
+                yield out.flush()
 
     return work.select("pivot", "salt", "cls", "expand", "head", "shingles").mapInArrow(tk.tidy(run), "kind int, pivot binary, cls binary, token long, size int, whole int")
 
 
+_NO_KEY = np.zeros(1, U64)
+
+
+class _Rows:
+    """Rows of verified pairs: one for each key, the rest of a pair's row repeated."""
+
+    def __init__(self):
+        self.pairs, self.keys, self.elements = [], [], 0
+
+    def add(self, kind: int, pivot: bytes, cls: bytes, keys: np.ndarray, size: int, whole: int) -> None:
+        if len(keys):
+            self.pairs.append((kind, pivot, cls, size, whole))
+            self.keys.append(keys)
+            self.elements += len(keys)
+
+    def flush(self) -> pa.RecordBatch:
+        each = pa.array(np.repeat(np.arange(len(self.pairs)), [len(k) for k in self.keys]))
+        kind, pivot, cls, size, whole = (pa.array(x, t).take(each) for x, t in zip(zip(*self.pairs), (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())))
+        token = pa.array(np.concatenate(self.keys).view(np.int64))
+        self.__init__()
+        return pa.RecordBatch.from_arrays([kind, pivot, cls, token, size, whole], names=["kind", "pivot", "cls", "token", "size", "whole"])
+
+
 def _difference_prefixes(elements: DataFrame, percent: int) -> DataFrame:
     """The prefix of every difference, rarest elements of the pivot's group first; elements of one difference only are left out."""
     counted = elements.join(elements.groupBy("token").agg(F.count("*").alias("n")), "token")
@@ -264,6 +288,24 @@ def _difference_prefixes(elements: DataFrame, percent: int) -> DataFrame:
     return ranked.filter((F.col("pos") <= allowed) & (F.col("n") > 1)).select("token", "cls", "size", "pos", "whole")
 
 
+def _labels(links: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(cls, label): the least label known of the pivots that a class is linked to.
+
+    Equal labels mean one component; a component can keep several, which costs
+    comparisons but no result.
+    """
+    pivots = links.select("pivot").distinct()
+    if known is None:
+        named = pivots.withColumn("label", F.col("pivot"))
+    else:
+        named = pivots.join(known.withColumnRenamed("cls", "pivot"), "pivot", "left").withColumn("label", F.coalesce("label", "pivot"))
+    named = cut(named)
+    out = links.join(small_or_shuffled(named), "pivot").select("cls", "label").unionByName(named.select(F.col("pivot").alias("cls"), "label"))
+    if known is not None:
+        out = out.unionByName(known)
+    return out.groupBy("cls").agg(F.min("label").alias("label"))
+
+
 def _put(out, *values) -> None:
     for column, value in zip(out, values):
         column.append(value)
@@ -333,7 +375,8 @@ def _linked(sizes: np.ndarray, diffs: list[np.ndarray], left: np.ndarray, right:
 def _count_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """(cls, n_links) of members, rows (pivot, cls, rep, size) with one pivot for each component: all links of a class with other classes."""
     diffs = cut(_from_pivots(members, _sets(docs, members.select(F.col("rep").alias("doc_id")), n)))
-    parts = members.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(LINK_BLOCK)).cast("int").alias("parts"))
+    block = F.least(F.lit(LINK_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.count("*") / 16))
+    parts = members.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     many = small_or_shuffled(cut(parts.filter("parts > 1")))
     rows = diffs.join(members.select("cls", "size"), "cls").join(many, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -382,7 +425,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     sketch = spark.sparkContext.broadcast(_merge_sketch(measured.filter(F.col("piece").isNotNull()).select("piece", "counts"), bits))
     reps = cut(rows.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0)).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size")))
     level = _prefix_rows(docs.filter(F.col("doc_id").isNotNull()), n, percent, bits, sketch).withColumn("label", F.col("cls")).withColumn("whole", F.col("size"))
-    links, first = None, True
+    links, known, first = None, None, True
     while True:
         tasks = cut(_tasks(cut(_buckets(level)), percent, SMALL_BUCKET if first else SMALL_DIFFERENCE_BUCKET))
         wanted = tasks.select("pivot").unionByName(tasks.select(F.col("cls").alias("pivot"))).distinct()
@@ -394,8 +437,8 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         if not level.limit(1).count():
             break
         # members of one component need no further link between them
-        known = components(links, "pivot", "cls").select(F.col("node").alias("cls"), "label")
-        level = level.join(cut(known), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        known = cut(_labels(new, known))
+        level = level.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         first = False
     named = links.join(reps.select(F.col("cls"), F.col("rep").alias("b")), "cls").join(reps.select(F.col("cls").alias("pivot"), F.col("rep").alias("a")), "pivot").select("a", "b")
     named = cut(named.distinct())

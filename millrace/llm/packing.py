@@ -20,7 +20,6 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import os
 import zlib
 from dataclasses import dataclass
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from millrace.llm import textkit as tk
 from millrace.session import cut
 
-#: Parts of words a worker remembers, across its tasks, before it starts afresh (about 150 bytes each).
+#: Parts of words a worker remembers, across its tasks, before it starts afresh (about 40 bytes each).
 CACHE_WORDS = 500_000
 #: Bytes of text tokenised together; larger blocks repeat more words.
 BLOCK_BYTES = 1 << 20
@@ -110,7 +109,9 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, tk.U64)  # hashes of words, sorted
+        self.slot = np.zeros(0, np.int32)
+        self.words = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.begin = np.zeros(1 << 14, np.int64)
@@ -131,21 +132,22 @@ class WordTokens:
         sizes = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
         return ids[ids != self.mark_id], sizes.astype(np.int32)
 
-    def _add(self, hashes: list[int], words: list[str]) -> None:
-        plain = [i for i, w in enumerate(words) if "<|" not in w]
-        if len(plain) < len(words):
-            chosen = set(plain)
-            rest = [i for i in range(len(words)) if i not in chosen]
-            for group in (plain, rest):
-                if group:
-                    self._store([hashes[i] for i in group], [words[i] for i in group])
-        else:
-            for i in range(0, len(words), 4096):
-                self._store(hashes[i : i + 4096], words[i : i + 4096])
-
-    def _store(self, hashes: list[int], words: list[str]) -> None:
+    def _add(self, words: list[str]) -> np.ndarray:
+        """Slots of new words."""
+        out = np.empty(len(words), np.int32)
+        odd = np.array(["<|" in w for w in words])
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._store([words[i]])
+        plain = np.flatnonzero(~odd)
+        for lo in range(0, len(plain), 4096):
+            part = plain[lo : lo + 4096]
+            out[part] = self._store([words[i] for i in part.tolist()]) + np.arange(len(part))
+        return out
+
+    def _store(self, words: list[str]) -> int:
+        """Appends the ids of words; returns the first one's slot."""
         ids, sizes = self._ids(words)
-        total, at = len(ids), len(self.known)
+        total, at = len(ids), self.words
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while at + len(words) > len(self.begin):
@@ -153,26 +155,29 @@ class WordTokens:
         self.flat[self.used : self.used + total] = ids
         self.begin[at : at + len(words)] = self.used + np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
         self.size[at : at + len(words)] = sizes
-        self.known.update(zip(hashes, range(at, at + len(words))))
+        self.words += len(words)
         self.used += total
+        return at
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts, and first id of each text."""
-        if len(self.known) > CACHE_WORDS:
+        if self.words > CACHE_WORDS:
             self.clear()
         starts, ends = atoms(offsets, data)
         low = _lower(data, starts, ends)
         hashes = tk.span_hash(tk.prefix_hash(low), starts, ends)
         uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        slots = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
-        fresh = np.flatnonzero(slots < 0)
-        if len(fresh):
+        place = np.searchsorted(self.known, uniq)
+        fresh = np.ones(len(uniq), bool)
+        inside = place < len(self.known)
+        fresh[inside] = self.known[place[inside]] != uniq[inside]
+        slots = np.empty(len(uniq), np.int32)
+        slots[~fresh] = self.slot[place[~fresh]]
+        if fresh.any():
             raw, at = low.tobytes(), first[fresh]
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            fresh_keys = uniq[fresh].tolist()
-            self._add(fresh_keys, words)
-            slots[fresh] = np.fromiter(map(self.known.__getitem__, fresh_keys), np.int64, len(fresh_keys))
+            slots[fresh] = self._add([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            self.known = np.insert(self.known, place[fresh], uniq[fresh])
+            self.slot = np.insert(self.slot, place[fresh], slots[fresh])
         sizes, begin = self.size[slots][inverse], self.begin[slots][inverse]
         upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         ids = self.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], sizes)]
