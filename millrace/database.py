@@ -42,6 +42,8 @@ class Index:
     tokeniser: str = "unicode"
     corpus: Corpus | None = None
     extra: DataFrame | None = field(default=None)  # chunk_id, embedding, metadata
+    coded: DataFrame | None = field(default=None)  # stored vectors of this generation, as vectors.encoded gives them
+    words: DataFrame | None = field(default=None)  # stored keyword index of this generation
 
     def __post_init__(self):
         if self.dimension <= 0:
@@ -77,7 +79,7 @@ class Index:
         corpus = self.corpus.upsert(records, chunks.select("record_id", "chunk_key", "text"))
         fresh = corpus.chunks.filter(F.col("chunk_id") >= before).select("chunk_id", "record_id", "chunk_key")
         added = fresh.join(chunks, ["record_id", "chunk_key"]).select("chunk_id", "embedding", "metadata")
-        return replace(self, corpus=corpus, extra=cut(self.extra.unionByName(added)))
+        return replace(self, corpus=corpus, extra=cut(self.extra.unionByName(added)), coded=None, words=None)
 
     def add(self, record_id: str, chunks: list[tuple[str, str, list[float], dict]], metadata: dict | None = None) -> Index:
         none = self.spark.createDataFrame([(record_id, "Document", None)], "record_id string, record_type string, content string")
@@ -85,12 +87,12 @@ class Index:
 
     def delete(self, *record_ids: str) -> tuple[Index, int]:
         corpus, n = self.corpus.delete(self.spark.createDataFrame([(r,) for r in record_ids], "record_id string"))
-        return replace(self, corpus=corpus), n
+        return (self, 0) if corpus is self.corpus else (replace(self, corpus=corpus, coded=None, words=None), n)
 
     def compact(self) -> tuple[Index, int]:
         corpus, n = self.corpus.compact()
         kept = self.extra.join(corpus.chunks.select("chunk_id"), "chunk_id", "left_semi")
-        return replace(self, corpus=corpus, extra=cut(kept) if n else self.extra), n
+        return (replace(self, corpus=corpus, extra=cut(kept), coded=None, words=None), n) if n else (self, 0)
 
     def counts(self) -> dict[str, int]:
         r = self.corpus.chunks.agg(F.count("*"), F.coalesce(F.sum((~F.col("deleted")).cast("long")), F.lit(0))).first()
@@ -119,9 +121,19 @@ class Index:
 
     def ranked_vectors(self, embedding, k: int, where: dict | None, scope: Scope | None) -> DataFrame:
         queries = self._vector_queries(embedding)
+        if self.coded is not None:
+            return vectors.search(self.coded, queries, k, metric=self.metric, encoding=self.encoding, scope=self._admitted(where, scope), stored=True)
         return vectors.search(self.chunks(), queries, k, metric=self.metric, encoding=self.encoding, where=filters.where(where) if where is not None else None, scope=self._scope(scope))
 
+    def _admitted(self, where: dict | None, scope: Scope | None) -> DataFrame | None:
+        """Ids that a filter and a scope let through; none if there is neither."""
+        if where is None:
+            return self._scope(scope)
+        return self.scope(where, scope).chunks
+
     def ranked_words(self, text, k: int, where: dict | None, scope: Scope | None) -> DataFrame:
+        if self.words is not None:
+            return keyword.search(None, self._text_queries(text), k, scope=self._admitted(where, scope), tokeniser=self.tokeniser, indexed=self.words)
         return keyword.search(self.chunks(), self._text_queries(text), k, where=filters.where(where) if where is not None else None, scope=self._scope(scope), tokeniser=self.tokeniser)
 
     def search(self, embedding, k: int = 10, where: dict | None = None, scope: Scope | None = None) -> DataFrame:
@@ -149,18 +161,37 @@ class Index:
 
     # ---- storage
 
-    def save(self, folder: str) -> dict:
+    def tables(self, keywords: bool = True) -> tuple[dict[str, DataFrame], dict]:
+        """What is stored: records, chunks, embeddings, encoded vectors and, if asked for, the keyword index; and what else to know."""
+        active = self.chunks()
+        out = {"records": self.corpus.records, "chunks": self.corpus.chunks, "extra": self.extra}
+        out["vectors"] = self.coded if self.coded is not None else vectors.encoded(active, metric=self.metric, encoding=self.encoding)
+        if keywords:
+            out["keywords"] = self.words if self.words is not None else keyword.index(active, tokeniser=self.tokeniser)
         meta = {"dimension": self.dimension, "metric": self.metric, "encoding": self.encoding, "tokeniser": self.tokeniser, "generation": self.corpus.generation, "next_id": self.corpus.next_id}
-        return store.save(self.spark, folder, {"records": self.corpus.records, "chunks": self.corpus.chunks, "extra": self.extra}, meta)
+        return out, meta
+
+    def save(self, folder: str, keywords: bool = True) -> dict:
+        """Writes the index; without keywords a later search tokenises the chunks again."""
+        return store.save(self.spark, folder, *self.tables(keywords))
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Index:
         tables, body = store.load(spark, folder)
-        m = body["meta"]
+        return cls.of(spark, tables, body["meta"])
+
+    @classmethod
+    def of(cls, spark: SparkSession, tables: dict[str, DataFrame], m: dict) -> Index:
+        """The index that stored tables hold, once their rules are checked."""
         if tables["chunks"].groupBy("chunk_id").count().filter("count > 1").limit(1).count():
             raise CorruptStore("chunk ids repeat")
+        if not tables["chunks"].filter(~F.col("deleted")).join(tables["vectors"], "chunk_id", "left_anti").isEmpty():
+            raise CorruptStore("an active chunk has no vector")
+        broken = keyword.validate(tables["keywords"]) if "keywords" in tables else []
+        if broken:
+            raise CorruptStore(f"keyword index: {broken[0]}")
         corpus = Corpus(tables["records"], tables["chunks"], m["generation"], m["next_id"])
-        return cls(spark, m["dimension"], m["metric"], m["encoding"], m["tokeniser"], corpus, tables["extra"])
+        return cls(spark, m["dimension"], m["metric"], m["encoding"], m["tokeniser"], corpus, tables["extra"], tables["vectors"], tables.get("keywords"))
 
 
 @dataclass(frozen=True)
@@ -187,6 +218,47 @@ class GraphDatabase:
             properties = index.spark.createDataFrame([], "node_type string, path string, kind string, value string, node string")
         return cls(index, schema, nodes, cut(edges), cut(graph.property_index(properties)), notes, index.corpus.generation)
 
+    # ---- storage
+
+    def save(self, folder: str, keywords: bool = True) -> dict:
+        """Index and graph under one manifest, so that a reader sees both of one version."""
+        tables, meta = self.index.tables(keywords)
+        graph_tables = {"nodes": self.nodes, "edges": self.edges, "properties": self.properties, "diagnostics": self.diagnostics}
+        graph_meta = {"schema": self.schema.canonical(), "schema_digest": self.schema.digest(), "graph_generation": self.generation}
+        return store.save(self.index.spark, folder, {**tables, **graph_tables}, {**meta, **graph_meta})
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> GraphDatabase:
+        tables, body = store.load(spark, folder)
+        m = body["meta"]
+        if "schema" not in m:
+            raise CorruptStore("the folder holds no graph")
+        schema = GraphSchema.parse(m["schema"])
+        if schema.digest() != m["schema_digest"]:
+            raise CorruptStore("the schema differs from its digest")
+        broken = graph.validate(tables["nodes"], tables["edges"], schema)
+        if broken:
+            raise CorruptStore(f"graph: {broken[0]}")
+        return cls(Index.of(spark, tables, m), schema, tables["nodes"], tables["edges"], tables["properties"], tables["diagnostics"], m["graph_generation"])
+
+    @classmethod
+    def validate(cls, spark: SparkSession, folder: str) -> dict:
+        """Loads the folder as load does and returns its manifest."""
+        cls.load(spark, folder)
+        return store.manifest(spark, folder)
+
+    def stats(self) -> dict[str, int]:
+        return graph.build_stats(self.index.corpus.records, self.nodes, self.edges, self.diagnostics)
+
+    def report(self, steps: list[TraversalStep], seeds: DataFrame, limits: TraversalLimits = TraversalLimits(), **more) -> tuple[DataFrame, DataFrame]:
+        """Results and report of a walk from seeds (query_id, node)."""
+        return graph.walk(self.edges, seeds, steps, limits, **more)
+
+    def projected(self, results: DataFrame, where: dict | None = None) -> tuple[DataFrame, dict[str, int]]:
+        """Identities (record_id, chunk_key) of the chunks of a walk that satisfy a filter, and their numbers before and after it."""
+        before, after = self.candidates(results), self.candidates(results, where)
+        return self.index.identities(after), {"before": before.chunks.count(), "after": after.chunks.count()}
+
     def query(self, steps: list[TraversalStep], ids: list[str] | None = None, node_type: str | None = None, path: tuple[str, ...] = (), values: list | None = None, limits: TraversalLimits = TraversalLimits()) -> DataFrame:
         """Walks from seeds, by id or by a declared field, in the order depth, node."""
         limits.check(steps)

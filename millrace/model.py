@@ -140,7 +140,7 @@ class TraversalStep:
 
 @dataclass(frozen=True)
 class TraversalLimits:
-    """Defaults and hard caps of a traversal."""
+    """Defaults and hard caps of a traversal. Fixed values."""
 
     max_hops: int = 8
     max_visited: int = 100_000
@@ -222,6 +222,21 @@ class GraphSchema:
         }
         return json.dumps(body, sort_keys=True, separators=(",", ":"))
 
+    @classmethod
+    def parse(cls, text: str) -> GraphSchema:
+        """The schema of a canonical string; any other string is an error."""
+        import json
+
+        try:
+            body = json.loads(text)
+            relations = [Relationship(n, a, b, tuple(f), c, m, d, s, i or None) for n, a, b, f, c, m, d, s, i in body["relationships"]]
+            out = cls(dict(body["nodes"]), relations, {k: [tuple(p) for p in v] for k, v in body["queryable"]}, *(x or None for x in body["chunks"]))
+        except (ValueError, KeyError, TypeError) as x:
+            raise SchemaError("the schema can't be read") from x
+        if out.check().canonical() != text:
+            raise SchemaError("the schema is not in canonical form")
+        return out
+
     def digest(self) -> str:
         import hashlib
 

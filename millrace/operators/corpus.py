@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.model import MillraceError, StaleScope
-from millrace.session import cut
+from millrace.session import cut, numbered
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,8 @@ class Corpus:
         kept = self.records.join(ids, "record_id", "left_anti")
         buried = self.chunks.join(ids.withColumn("_gone", F.lit(True)), "record_id", "left")
         buried = buried.withColumn("deleted", F.col("deleted") | F.coalesce("_gone", F.lit(False))).select(*self.chunks.columns)
-        numbered = numbers(chunks.select("record_id", "chunk_key", "text"), ["record_id", "chunk_key"], self.next_id, "chunk_id")
-        new = numbered.join(fresh.select("record_id", "version"), "record_id").select("chunk_id", "record_id", "chunk_key", "text", "version", F.lit(False).alias("deleted"))
+        fresh_chunks = numbered(chunks.select("record_id", "chunk_key", "text"), ["record_id", "chunk_key"], self.next_id, "chunk_id")
+        new = fresh_chunks.join(fresh.select("record_id", "version"), "record_id").select("chunk_id", "record_id", "chunk_key", "text", "version", F.lit(False).alias("deleted"))
         new = cut(new)
         count = new.count()
         return replace(self, records=cut(kept.unionByName(fresh)), chunks=cut(buried.unionByName(new)), generation=self.generation + 1, next_id=self.next_id + count)
@@ -62,13 +62,34 @@ class Corpus:
         return self.upsert(records, chunks)
 
     def delete(self, ids: DataFrame) -> tuple[Corpus, int]:
-        """Buries the active chunks of the records and removes them; returns how many chunks went. Doing it again changes nothing."""
-        gone = ids.select("record_id").distinct()
+        """Buries the active chunks of the records and removes them; returns how many chunks went. Without a chunk or record to go nothing changes, nor does the generation."""
+        gone = cut(ids.select("record_id").distinct())
         hit = self.active().join(gone, "record_id", "left_semi").count()
+        if not hit and self.records.join(gone, "record_id", "left_semi").isEmpty():
+            return self, 0
         mark = self.chunks.join(gone.withColumn("_gone", F.lit(True)), "record_id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("_gone", F.lit(False)))
         left = self.records.join(gone, "record_id", "left_anti")
         return replace(self, records=cut(left), chunks=cut(mark.select(*self.chunks.columns)), generation=self.generation + 1), hit
 
+    def add_chunks(self, chunks: DataFrame) -> Corpus:
+        """Chunks with ids of the caller's: chunk_id, record_id, chunk_key, text. Ids must be new and not negative; records must exist. Later ids go on behind the greatest."""
+        twice = chunks.groupBy("chunk_id").count().filter("count > 1 OR chunk_id IS NULL OR chunk_id < 0").limit(1).collect()
+        taken = twice or chunks.join(self.chunks.select("chunk_id"), "chunk_id", "left_semi").limit(1).collect()
+        if taken:
+            raise MillraceError(f"chunk id {taken[0]['chunk_id']} can't be given")
+        stray = chunks.join(self.records, "record_id", "left_anti").limit(1).collect()
+        if stray:
+            raise MillraceError(f"chunk of unknown record {stray[0]['record_id']}")
+        keys = self.active().select("record_id", "chunk_key").unionByName(chunks.select("record_id", "chunk_key"))
+        again = keys.groupBy("record_id", "chunk_key").count().filter("count > 1").limit(1).collect()
+        if again:
+            raise MillraceError(f"chunk key {again[0]['chunk_key']} comes twice")
+        top = chunks.agg(F.max("chunk_id")).first()[0]
+        if top is None:
+            return self
+        new = chunks.join(self.records.select("record_id", "version"), "record_id").select("chunk_id", "record_id", "chunk_key", "text", "version", F.lit(False).alias("deleted"))
+        return replace(self, chunks=cut(self.chunks.unionByName(new)), generation=self.generation + 1, next_id=max(self.next_id, top + 1))
+
     def compact(self) -> tuple[Corpus, int]:
         """Drops tombstones, ids stay; without tombstones nothing changes."""
         dead = self.chunks.filter("deleted").count()
@@ -81,7 +102,11 @@ class Corpus:
 
     def lookup(self, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
         """Rows of ids (pos, key) in their order, repeats kept; deleted or unknown ids give nulls."""
-        return ids.join(self.active(), key, "left").orderBy("pos")
+        return hydrate(ids, self.active(), key).orderBy("pos")
+
+    def lookup_any(self, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+        """As lookup, but buried chunks are found as well, with their `deleted` mark."""
+        return hydrate(ids, self.chunks, key).orderBy("pos")
 
 
 @dataclass(frozen=True)
@@ -97,16 +122,9 @@ class Scope:
         return self.chunks
 
 
-def numbers(df: DataFrame, order: list[str], first: int, name: str) -> DataFrame:
-    """df with consecutive numbers from first on in the given order, counted per range and so in parallel."""
-    placed = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    start, total = {}, first
-    for p, n in sorted((r["_p"], r["count"]) for r in placed.groupBy("_p").count().collect()):
-        start[p], total = total, total + n
-    if not start:
-        return placed.withColumn(name, F.lit(first).cast("long")).drop("_p")
-    offset = F.element_at(F.create_map(*[F.lit(x) for pair in start.items() for x in pair]), F.col("_p"))
-    return placed.withColumn(name, (offset + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).cast("long")).drop("_p")
+def hydrate(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """ids with the columns of the rows they name; an id may come often, and one without a row keeps nulls."""
+    return ids.join(rows, key, "left")
 
 
 def latest(log: DataFrame, key: str, version: str, deleted: str) -> DataFrame:
@@ -121,5 +139,7 @@ def merged_metadata(record: str, chunk: str):
     return F.map_concat(F.map_filter(record, lambda k, v: ~F.map_contains_key(chunk, k)), chunk)
 
 
-def size_estimate(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum((~F.col("deleted")).cast("long")), F.lit(0)).alias("active"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("text_bytes"))
+def size_estimate(chunks: DataFrame, *by: str) -> DataFrame:
+    """Chunks, active ones and bytes of text, in all or by columns."""
+    measures = F.count("*").alias("chunks"), F.coalesce(F.sum((~F.col("deleted")).cast("long")), F.lit(0)).alias("active"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("text_bytes")
+    return chunks.groupBy(*by).agg(*measures)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import numbered
+
 CUTOFFS = (1, 3, 5, 10, 100, 1000)
 
 
@@ -122,6 +124,98 @@ def evidence(alternatives: DataFrame, found: DataFrame) -> DataFrame:
     return best.select("query_id", "set_id", "matched", "required", (F.col("matched") / F.col("required")).alias("recall"), (F.col("matched") == F.col("required")).cast("long").alias("complete"))
 
 
+def evidence_at(alternatives: DataFrame, ranked: DataFrame, cutoffs: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """Per query and cutoff: supporting (share of the best evidence set found) and complete, over the first distinct documents of a ranking (query_id, doc_id, rank)."""
+    first = ranked.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    place = first.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id")))
+    out = None
+    for k in cutoffs:
+        best = evidence(alternatives, place.filter(F.col("_n") <= k)).select("query_id", F.lit(k).alias("k"), F.col("recall").alias("supporting"), "complete")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def path_accuracy(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """query_id, path_accuracy: 1 if any expected path (query_id, path as an array of steps) is among those found, else 0; queries without expected paths have no row."""
+    key = lambda df: df.select("query_id", F.to_json("path").alias("_p")).distinct()
+    hit = key(found).withColumn("_hit", F.lit(1))
+    return key(expected).join(hit, ["query_id", "_p"], "left").groupBy("query_id").agg(F.max(F.coalesce("_hit", F.lit(0))).cast("long").alias("path_accuracy"))
+
+
+TRUNCATIONS = ("max_hops", "max_results", "max_visited", "max_bytes")
+
+
+def candidates(report: DataFrame, projected: DataFrame, eligible: DataFrame) -> DataFrame:
+    """Per query of a walk's report: how far it narrowed the search, and why it stopped.
+
+    projected and eligible are (query_id, chunk_id): chunks of what the walk
+    reached, before and after the metadata filter. reduction_ratio is eligible to
+    projected, null where nothing was projected.
+    """
+    count = lambda df, name: df.groupBy("query_id").agg(F.countDistinct("chunk_id").alias(name))
+    j = report.join(count(projected, "projected"), "query_id", "left").join(count(eligible, "eligible"), "query_id", "left").fillna(0, ["projected", "eligible"])
+    return j.select(
+        "query_id",
+        "projected",
+        "eligible",
+        (F.col("eligible") / F.nullif(F.col("projected"), F.lit(0))).alias("reduction_ratio"),
+        (F.col("projected") == 0).cast("long").alias("empty_scope"),
+        F.col("truncated").isNotNull().cast("long").alias("truncated"),
+        *(F.coalesce((F.col("truncated") == t).cast("long"), F.lit(0)).cast("long").alias(f"truncated_{t}") for t in TRUNCATIONS),
+    )
+
+
+def index_percentile(values: DataFrame, value: str, shares: tuple[int, ...], by: str | None = None) -> DataFrame:
+    """Percentiles at the place (n - 1) * share / 100, cut to an integer: another rule than nearest rank."""
+    keys = [by] if by else []
+    n = values.groupBy(*keys).agg(F.count(value).alias("_c"))
+    some = values.filter(F.col(value).isNotNull())
+    placed = some.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1) if keys else numbered(some, [value], 0, "_r")
+    j = placed.join(n, keys) if keys else placed.crossJoin(F.broadcast(n))
+    at = lambda p: F.floor((F.col("_c") - 1) * p / 100)
+    return j.groupBy(*keys).agg(*(F.max(F.when(F.col("_r") == at(p), F.col(value))).alias(f"p{p}") for p in shares))
+
+
+def upper_median(values: DataFrame, value: str, by: str, *ties: str) -> DataFrame:
+    """by, median: the upper of two middle elements."""
+    w = Window.partitionBy(by)
+    placed = values.filter(F.col(value).isNotNull()).select(by, value, F.row_number().over(w.orderBy(value, *ties)).alias("_r"), F.count("*").over(w).alias("_c"))
+    return placed.filter(F.col("_r") == F.floor(F.col("_c") / 2) + 1).select(by, F.col(value).alias("median"))
+
+
+def half_up(value: Column, digits: int) -> Column:
+    """Decimal rounding, halves away from zero, as published figures are written."""
+    return F.round(value.cast("decimal(38,12)"), digits).cast(f"decimal(28,{digits})")
+
+
+def populations(parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """population, members, digest: how many keys each set holds, and the SHA-256 of its sorted keys, one a line.
+
+    Sets are named by expressions of the caller's; a digest is made on the
+    executors from one sorted list, as it names a query set, which is small.
+    """
+    out = None
+    for name, df in parts.items():
+        keys = df.select(F.col(key).cast("string").alias("_k")).distinct()
+        row = keys.agg(F.lit(name).alias("population"), F.count("*").alias("members"), F.sha2(F.array_join(F.array_sort(F.collect_list("_k")), "\n"), 256).alias("digest"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def lane_populations(queries: DataFrame) -> dict[str, DataFrame]:
+    """Query sets of an evaluation: queries (query_id, explicit, derived, and status of the derived seed)."""
+    explicit, derived = queries.filter("explicit"), queries.filter("derived")
+    done = derived.filter("status = 'resolved'")
+    return {"retrieval": queries, "explicit": explicit, "derived": derived, "successful": done, "intersection": explicit.join(done.select("query_id"), "query_id", "left_semi")}
+
+
+def paired_slices(base: DataFrame, other: DataFrame, metric: str, slices: DataFrame) -> DataFrame:
+    """slice, queries, base, other, delta, wins, ties, losses of `other` over `base` in every slice (query_id, slice); a query can be in several."""
+    j = base.select("query_id", F.col(metric).alias("a")).join(other.select("query_id", F.col(metric).alias("b")), "query_id").join(slices, "query_id")
+    d = F.round(F.col("b") - F.col("a"), 12)
+    return j.groupBy("slice").agg(F.count("*").alias("queries"), F.avg("a").alias("base"), F.avg("b").alias("other"), F.avg(d).alias("delta"), *(F.sum(t.cast("long")).alias(n) for n, t in (("wins", d > 0), ("ties", d == 0), ("losses", d < 0))))
+
+
 def gate(value: float, op: str, bound: float) -> bool:
     return {"eq": value == bound, "gte": value >= bound, "lte": value <= bound}[op]
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.model import MillraceError
+from millrace.session import numbered
 
 #: Sentence ends: Latin and East Asian full stops, exclamation and question marks.
 SENTENCE_ENDS = ".!?。！？"
@@ -84,8 +85,8 @@ def within_tokens(text: str, most: int, count) -> list[str]:
 def invalid_chunks(made: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks that are empty, out of range or no exact slice of their document's bytes."""
     j = made.alias("m").join(docs.select(F.col(id_col), F.col(text_col).alias("_whole")), id_col, "left")
-    cut = F.expr("decode(substring(encode(_whole, 'utf-8'), cast(start + 1 as int), cast(end - start as int)), 'utf-8')")
-    ok = (F.length("text") > 0) & (F.col("start") >= 0) & (F.col("end") <= F.octet_length("_whole")) & (F.col("start") < F.col("end")) & (cut == F.col("text"))
+    cut = F.expr("substring(cast(_whole as binary), cast(start + 1 as int), cast(end - start as int))")
+    ok = (F.length("text") > 0) & (F.col("start") >= 0) & (F.col("end") <= F.octet_length("_whole")) & (F.col("start") < F.col("end")) & (cut == F.col("text").cast("binary"))
     return j.filter(~F.coalesce(ok, F.lit(False))).select(id_col, "ordinal")
 
 
@@ -95,6 +96,34 @@ def sections(text: Column, chars_per_token: int = 4) -> Column:
     return F.transform(parts, lambda s: F.struct(s.alias("text"), F.floor(F.length(s) / chars_per_token).alias("tokens")))
 
 
+def section_chunks(docs: DataFrame, token_limit: int = 400, overlap: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ordinal, text: whole sections together up to a token estimate, each chunk beginning with the last `overlap` sections of the one before.
+
+    A text within the limit is one chunk. Sections are parted by blank lines, or
+    else by lines, or else by sentences, which keep their mark and are joined by
+    one more. A section beyond the limit stays whole. Null texts give no chunks.
+    """
+    t = F.col(text_col)
+    mark = F.when(F.contains(t, F.lit("\n\n")), "\n\n").when(F.contains(t, F.lit("\n")), "\n").otherwise(". ")
+    raw = F.when(mark == "\n\n", F.split(t, "\n\n", -1)).when(mark == "\n", F.split(t, "\n", -1)).otherwise(F.split(t, r"\. ", -1))
+    parts = F.when(mark == ". ", F.transform(raw, lambda s, i: F.when(i < F.size(raw) - 1, F.concat(s, F.lit(". "))).otherwise(s))).otherwise(raw)
+    estimate = lambda s: F.floor(F.length(s) / 4)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, s: n + estimate(s))
+    empty = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("open"), F.lit(0).cast("long").alias("tokens"))
+
+    def step(state, section):
+        full = (state["tokens"] + estimate(section) > token_limit) & (F.size(state["open"]) > 0)
+        kept = F.slice(state["open"], F.greatest(F.lit(1), F.size(state["open"]) - overlap + 1), F.lit(overlap)) if overlap else empty
+        opened = F.when(full, kept).otherwise(state["open"])
+        done = F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.concat(opened, F.array(section)).alias("open"), (F.when(full, total(kept)).otherwise(state["tokens"]) + estimate(section)).alias("tokens"))
+
+    grouped = F.aggregate(parts, start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
+    chunks = F.when(estimate(t) <= token_limit, F.array(t)).otherwise(F.transform(grouped, lambda g: F.when(mark == "\n\n", F.array_join(g, "\n\n")).when(mark == "\n", F.array_join(g, "\n")).otherwise(F.array_join(g, ". "))))
+    return docs.filter(t.isNotNull()).select(F.col(id_col), F.posexplode(chunks).alias("ordinal", "text"))
+
+
 def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 
@@ -122,26 +151,51 @@ def alias_spans(question: str, aliases: list[str]) -> list[tuple[str, int, int]]
     return out
 
 
-def boundary_substrings(question: str, most_words: int = 8) -> list[str]:
-    """All runs of up to most_words words of a normalised question, punctuation at their ends taken off."""
+def alias_spans_original(text: str, aliases: list[str]) -> list[tuple[str, int, int]]:
+    """alias_spans with offsets into the text as written: the characters whose normal form an alias covers."""
+    plain, at = [], []  # normalised characters, and the place each came from
+    i = 0
+    while i < len(text):
+        end = i + 1
+        while end < len(text) and unicodedata.combining(text[end]):
+            end += 1
+        for c in unicodedata.normalize("NFC", text[i:end]).casefold():
+            if c.isspace():
+                if plain and plain[-1] != " ":
+                    plain.append(" ")
+                    at.append((i, end))
+            else:
+                plain.append(c)
+                at.append((i, end))
+        i = end
+    return [(a, at[lo][0], at[hi - 1][1]) for a, lo, hi in alias_spans("".join(plain), aliases)]
+
+
+def boundary_substrings(question: str, most_words: int | None = None) -> list[str]:
+    """All runs of words of a normalised question, of up to most_words if given, punctuation at their ends taken off."""
     words = question.split()
-    found = {" ".join(words[i:j]).strip(".,;:!?\"'()") for i in range(len(words)) for j in range(i + 1, min(len(words), i + most_words) + 1)}
+    longest = most_words or len(words)
+    found = {" ".join(words[i:j]).strip(".,;:!?\"'()") for i in range(len(words)) for j in range(i + 1, min(len(words), i + longest) + 1)}
     return sorted(x for x in found if x)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def question_parts(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: boundary_substrings(normalise_text(t)))
+def question_parts(texts: Column, most_words: int) -> Column:
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def parts(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: boundary_substrings(normalise_text(t), most_words))
+
+    return parts(texts)
 
 
 def resolve_seeds(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """question_id, status (resolved, ambiguous, no_match), seed: the longest alias found decides.
 
     questions: question_id, text. aliases: alias (normalised), node. Parts of a
-    question meet aliases in an equi-join, so no question is held against every
-    alias.
+    question, as long as the longest alias, meet aliases in an equi-join, so no
+    question is held against every alias.
     """
-    parts = questions.select("question_id", F.explode(question_parts("text")).alias("alias"))
+    most = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    parts = questions.select("question_id", F.explode(question_parts(F.col("text"), most)).alias("alias"))
     hits = parts.join(aliases.distinct(), "alias")
     longest = hits.groupBy("question_id").agg(F.max(F.length("alias")).alias("_l"))
     top = hits.join(longest, "question_id").filter(F.length("alias") == F.col("_l")).groupBy("question_id").agg(F.countDistinct("node").alias("_n"), F.min("node").alias("seed"))
@@ -181,6 +235,18 @@ def query_text(text: Column, most: int = 160) -> Column:
     return F.when(F.length(flat) <= most, flat).otherwise(F.when(F.instr(cut, " ") > 0, F.regexp_replace(cut, r" [^ ]*$", "")).otherwise(cut))
 
 
+def distinct_cycled(questions: DataFrame, order: str, question: str, wanted: int) -> DataFrame:
+    """place, question: distinct questions in the order of their first appearance, repeated in turn up to `wanted`."""
+    first = questions.filter(F.col(question) != "").groupBy(question).agg(F.min(order).alias("_o"))
+    listed = numbered(first, ["_o"], 0, "_i")
+    n = listed.count()
+    if not n:
+        return questions.sparkSession.createDataFrame([], "place long, question string")
+    turns = F.explode(F.sequence(F.lit(0), F.lit(-(-wanted // n) - 1)))
+    places = listed.select(F.col(question).alias("question"), "_i", turns.alias("_t")).select((F.col("_t") * n + F.col("_i")).cast("long").alias("place"), "question")
+    return places.filter(F.col("place") < wanted)
+
+
 def freeze(primary: DataFrame, pages: DataFrame, title: str, page: str) -> DataFrame:
     """One page per wanted title; among several the least id."""
     return primary.select(title).distinct().join(pages.groupBy(title).agg(F.min(page).alias(page)), title)

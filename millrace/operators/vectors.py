@@ -47,13 +47,22 @@ def _half_away(x: np.ndarray) -> np.ndarray:
     return np.copysign(np.floor(np.abs(x) + 0.5), x)
 
 
+#: Dimensions up to which sums of products of bytes are exact in single precision: 127 * 127 * 1040 < 2**24.
+EXACT_WIDTH = 1040
+
+
+def _whole(q: np.ndarray) -> np.ndarray:
+    """Byte values in the narrowest floats that keep their products exact."""
+    return q.astype(np.float32 if q.shape[1] <= EXACT_WIDTH else np.float64)
+
+
 def encode(m: np.ndarray, encoding: str) -> tuple[np.ndarray, np.ndarray]:
     """Rows as stored, in double, and the scale of each row."""
     if encoding == "i8":
         top = np.abs(m).max(1, initial=0.0)
         safe = np.where(top > 0, top, 1.0)
         q = np.clip(_half_away(m * (127.0 / safe)[:, None]), -128, 127)
-        return np.where((top > 0)[:, None], q, 0.0), np.where(top > 0, top / 127.0, 0.0)
+        return _whole(np.where((top > 0)[:, None], q, 0.0)), np.where(top > 0, top / 127.0, 0.0)
     ones = np.ones(len(m))
     if encoding == "f16":
         # halves round up in magnitude: add half a step to the bits, then cut
@@ -112,6 +121,33 @@ def query_blocks(queries: DataFrame, query_id: str, vector: str, block_bytes: in
             yield rows.column(0).to_pylist(), _matrix(rows.column(1))
 
 
+def encoded(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "embedding", metric: str = "dot", encoding: str = "f32") -> DataFrame:
+    """chunk_id, values, scale: vectors as they are stored, bytes for i8 and floats else; search takes them with stored."""
+    kind = "tinyint" if encoding == "i8" else "float"
+
+    def run(batches):
+        for b in batches:
+            m, scale = prepare(_matrix(b.column(1)), metric, encoding)
+            flat = pa.array(m.astype(np.int8 if encoding == "i8" else np.float32).ravel())
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (m.shape[1] if b.num_rows else 0))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, flat), pa.array(scale)], names=["chunk_id", "values", "scale"])
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("chunk_id"), F.col(vector_col).alias("v")).filter("chunk_id IS NOT NULL")
+    return rows.mapInArrow(run, f"chunk_id long, values array<{kind}>, scale double")
+
+
+def check_width(rows: DataFrame, vector_col: str, queries: DataFrame, query_vector: str) -> None:
+    """An error on the driver if queries and stored vectors differ in length; of the stored ones the first is looked at, the others as they are read."""
+    got = queries.agg(F.min(F.size(query_vector)), F.max(F.size(query_vector))).first()
+    if got[0] is None:
+        return
+    if got[0] != got[1]:
+        raise DimensionMismatch(f"queries have {got[0]} to {got[1]} dimensions")
+    one = rows.filter(F.col(vector_col).isNotNull()).select(F.size(vector_col)).limit(1).collect()
+    if one and one[0][0] != got[0]:
+        raise DimensionMismatch(f"vectors have {one[0][0]} dimensions, queries {got[0]}")
+
+
 def search(
     vectors: DataFrame,
     queries: DataFrame,
@@ -125,9 +161,13 @@ def search(
     where: Column | None = None,
     scope: DataFrame | None = None,
     block_bytes: int = BLOCK_BYTES,
+    stored: bool = False,
 ) -> DataFrame:
     """query_id, chunk_id, score, rank of the best k of every query; ties go to the smaller id.
 
+    With stored, vectors are rows of encoded() in the same metric and encoding,
+    and are not encoded again.
+
     where filters vectors; scope is a DataFrame of admitted ids. A null id is
     left out; vectors of another length than the query's are an error.
     """
@@ -136,10 +176,15 @@ def search(
     if k < 0:
         raise InvalidQuery("k is negative")
     rows = vectors if where is None else vectors.filter(where)
-    rows = rows.select(F.col(id_col).cast("long").alias("chunk_id"), F.col(vector_col).alias("v")).filter("chunk_id IS NOT NULL")
+    vector_col = "values" if stored else vector_col
+    scale_col = F.col("scale") if stored else F.lit(1.0)
+    rows = rows.select(F.col(id_col).cast("long").alias("chunk_id"), F.col(vector_col).alias("v"), scale_col.alias("scale")).filter("chunk_id IS NOT NULL")
     if scope is not None:
         rows = rows.join(scope.select(F.col(scope.columns[0]).cast("long").alias("chunk_id")), "chunk_id", "left_semi")
     kind = queries.schema[query_id].dataType.simpleString()
+    check_width(vectors, vector_col, queries, query_vector)
+    if k == 0:
+        return queries.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id long, score double, rank long")
     found = None
     for ids, matrix in query_blocks(queries, query_id, query_vector, block_bytes):
         shared = queries.sparkSession.sparkContext.broadcast((ids, *prepare(matrix, metric, encoding)))
@@ -150,7 +195,11 @@ def search(
             for b in batches:
                 if not b.num_rows:
                     continue
-                chunk, rows_scale = prepare(_matrix(b.column(1), q.shape[1]), metric, encoding)
+                chunk = _matrix(b.column(1), q.shape[1])
+                if stored:
+                    chunk, rows_scale = (_whole(chunk) if encoding == "i8" else chunk), b.column(2).to_numpy(zero_copy_only=False)
+                else:
+                    chunk, rows_scale = prepare(chunk, metric, encoding)
                 chunk_ids = b.column(0).to_numpy(zero_copy_only=False)
                 scores = (chunk @ q.T) * rows_scale[:, None] * scale[None, :]
                 scores = np.where(np.isfinite(scores), scores, 0.0)
@@ -165,7 +214,7 @@ def search(
 
         part = rows.mapInArrow(local_best, f"query_id {kind}, chunk_id long, score double")
         found = part if found is None else found.unionByName(part)
-    if found is None or k == 0:
+    if found is None:
         return queries.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id long, score double, rank long")
     return top_k(found, k)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import evaluation, graph_queries, search_queries
+from millrace.plans import conformance, evaluation, graph_queries, search_queries
 
-_PARTS = (search_queries, graph_queries, evaluation)
+_PARTS = (search_queries, graph_queries, evaluation, conformance)
 
 
 def queries() -> dict:

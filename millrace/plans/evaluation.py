@@ -38,9 +38,16 @@ def grid() -> list[dict]:
 
 
 def best_candidate(scored: DataFrame) -> DataFrame:
-    """The candidate first by quality, then by cost and name: eight keys decide every tie."""
-    keys = [F.desc("ndcg"), F.desc("recall"), F.desc("mrr"), F.desc("precision"), F.asc("vector_k"), F.asc("keyword_k"), F.asc("alpha"), F.asc("name")]
-    return scored.orderBy(*keys).limit(1)
+    """The candidate first by quality (complete evidence, NDCG, MAP, recall, MRR), then by cost: both depths added, the deeper one, and the candidate's canonical JSON decide ties."""
+    depth = F.col("vector_k") + F.col("keyword_k")
+    quality = [F.desc(c) for c in ("complete_evidence", "ndcg", "map", "recall", "mrr")]
+    return scored.orderBy(*quality, depth.asc(), F.greatest("vector_k", "keyword_k").asc(), candidate_json().asc()).limit(1)
+
+
+def candidate_json():
+    """Sorted keys and shortest numbers, as candidates are written."""
+    number = lambda c: F.col(c).cast("string")
+    return F.concat(F.lit('{"alpha":'), number("alpha"), F.lit(',"keyword_candidate_limit":'), number("keyword_k"), F.lit(',"vector_candidate_limit":'), number("vector_k"), F.lit("}"))
 
 
 def check_gates(values: dict[str, float], gates: dict[str, tuple[str, float]]) -> list[str]:

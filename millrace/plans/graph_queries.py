@@ -6,12 +6,12 @@ suppliers and orders are records, their foreign keys reference fields.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.model import GraphSchema, Relationship, TraversalLimits, TraversalStep
-from millrace.operators import corpus, graph, keyword, text, vectors
-from millrace.session import cut, table
+from millrace.operators import corpus, graph, keyword, metrics, text, vectors
+from millrace.session import table
 
 SCHEMA = GraphSchema(
     nodes={"region": "Region", "nation": "Nation", "customer": "Customer", "supplier": "Supplier", "orders": "Order"},
@@ -91,9 +91,9 @@ def region_seeds(spark, d) -> DataFrame:
     return table(spark, d, "region").select(F.col("r_name").alias("query_id"), F.concat(F.lit("Region:region-"), F.col("r_regionkey").cast("string")).alias("node"))
 
 
-def walk(steps, limits=TraversalLimits(), seeds=region_seeds):
+def walk(steps, limits=TraversalLimits(), seeds=region_seeds, edges=edges_of):
     def run(spark, d):
-        found = graph.traverse(edges_of(spark, d), seeds(spark, d), steps, limits)
+        found = graph.traverse(edges(spark, d), seeds(spark, d), steps, limits)
         return found.select("query_id", "node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
     return run
@@ -131,8 +131,7 @@ UNION SELECT c_mktsegment, 'Region:region-' || n_regionkey, 2 FROM customer JOIN
 
 
 def traversal_trace(spark, d):
-    seeds = region_seeds(spark, d)
-    return graph.trace(graph.traverse(edges_of(spark, d), seeds, TWO_HOPS, WIDE), seeds)
+    return graph.trace(graph.walk(edges_of(spark, d), region_seeds(spark, d), TWO_HOPS, WIDE)[1])
 
 
 TRACE_SQL = "SELECT r_name AS query_id, 1::BIGINT AS seed_count, count(c_custkey) AS result_count, CASE WHEN count(c_custkey) > 0 THEN 2 ELSE 0 END AS max_depth FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name"
@@ -209,18 +208,18 @@ LATEST_SQL = "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_nu
 def hydrate(spark, d):
     """Looked up by position: ids repeat, unknown ones give nulls."""
     ids = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").alias("doc_id"))
-    return ids.join(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id", "left").select("pos", "doc_id", F.coalesce("lang", F.lit("-")).alias("lang"), F.coalesce("n_chars", F.lit(-1)).alias("n_chars"))
+    return corpus.hydrate(ids, table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id").select("pos", "doc_id", F.coalesce("lang", F.lit("-")).alias("lang"), F.coalesce("n_chars", F.lit(-1)).alias("n_chars"))
 
 
 HYDRATE_SQL = "SELECT l_orderkey * 8 + l_linenumber AS pos, l_partkey AS doc_id, coalesce(lang, '-') AS lang, coalesce(n_chars, -1) AS n_chars FROM lineitem LEFT JOIN documents ON doc_id = l_partkey"
 
 
 def corpus_size(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.groupBy("lang").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("text")).alias("text_bytes"), F.countDistinct(F.sha2("text", 256)).alias("distinct_texts"))
+    """Documents by language; every fifth counts as deleted."""
+    return corpus.size_estimate(table(spark, d, "documents").select("lang", "text", (F.col("doc_id") % 5 == 0).alias("deleted")), "lang")
 
 
-SIZE_SQL = "SELECT lang, count(*) AS chunks, sum(strlen(text))::BIGINT AS text_bytes, count(DISTINCT sha256(text)) AS distinct_texts FROM documents GROUP BY lang"
+SIZE_SQL = "SELECT lang, count(*) AS chunks, count(*) FILTER (doc_id % 5 <> 0) AS active, coalesce(sum(strlen(text)), 0)::BIGINT AS text_bytes FROM documents GROUP BY lang"
 
 # ---- text
 
@@ -233,11 +232,6 @@ def sentence_chunks(spark, d):
     return text.chunks(table(spark, d, "documents"), 500, 50, sentences=True)
 
 
-def chunk_faults(spark, d):
-    docs = table(spark, d, "documents")
-    return text.invalid_chunks(text.chunks(docs, 500, 50, sentences=True), docs)
-
-
 def page_links(spark, d):
     return text.link_aliases(table(spark, d, "pages"))
 
@@ -282,12 +276,11 @@ FROZEN_SQL = "SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS host, min(pag
 
 def upper_median(spark, d):
     """The upper of two middle elements, rounded half up to two places."""
-    w = Window.partitionBy("event_type")
-    e = table(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value", "event_id")).alias("r"), F.count("*").over(w).alias("n"))
-    return e.filter(F.col("r") == F.floor(F.col("n") / 2) + 1).select("event_type", F.round("value", 2).alias("median"))
+    out = metrics.upper_median(table(spark, d, "events"), "value", "event_type", "event_id")
+    return out.select("event_type", metrics.half_up(F.col("median"), 2).cast("double").alias("median"))
 
 
-MEDIAN_SQL = "SELECT event_type, round(value, 2) AS median FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r = n // 2 + 1"
+MEDIAN_SQL = "SELECT event_type, round(value::DECIMAL(38, 12), 2)::DOUBLE AS median FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r = n // 2 + 1"
 
 
 def populations(spark, d):
@@ -295,18 +288,15 @@ def populations(spark, d):
     e = table(spark, d, "events")
     a, b = (e.filter(F.col("event_type") == k).select("user_id").distinct() for k in ("click", "purchase"))
     parts = {"left": a, "right": b, "both": a.intersect(b), "left_only": a.exceptAll(b), "either": a.union(b).distinct()}
-    out = None
-    for name, df in parts.items():
-        row = df.agg(F.lit(name).alias("population"), F.count("*").alias("members"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return metrics.populations(parts, "user_id")
 
 
 POPULATIONS_SQL = """
-WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
-SELECT 'left' AS population, count(*) AS members FROM a UNION ALL SELECT 'right', count(*) FROM b
-UNION ALL SELECT 'both', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'left_only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
-UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)
+WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'),
+p AS (SELECT 'left' AS population, user_id FROM a UNION ALL SELECT 'right', user_id FROM b UNION ALL SELECT 'both', user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
+UNION ALL SELECT 'left_only', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'either', user_id FROM (SELECT * FROM a UNION SELECT * FROM b))
+SELECT n AS population, count(user_id) AS members, sha256(coalesce(string_agg(user_id::VARCHAR, chr(10) ORDER BY user_id::VARCHAR), '')) AS digest
+FROM (SELECT unnest(['left', 'right', 'both', 'left_only', 'either']) AS n) LEFT JOIN p ON population = n GROUP BY n
 """
 
 
@@ -329,7 +319,6 @@ def queries() -> dict:
         "corpus_size": corpus_size,
         "chunk_fixed": fixed_chunks,
         "chunk_sentence": sentence_chunks,
-        "chunk_faults": chunk_faults,
         "page_links": page_links,
         "hash_sample": sampled,
         "query_text": short_questions,
@@ -361,7 +350,6 @@ def oracle_sql() -> dict[str, str]:
         "corpus_latest": LATEST_SQL,
         "corpus_hydrate": HYDRATE_SQL,
         "corpus_size": SIZE_SQL,
-        "chunk_faults": "SELECT doc_id, 0::BIGINT AS ordinal FROM documents WHERE false",
         "hash_sample": SAMPLE_SQL,
         "query_text": QUESTIONS_SQL,
         "freeze_pages": FROZEN_SQL,

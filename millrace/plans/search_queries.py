@@ -136,9 +136,9 @@ FILTERS = {
     "filter_range": ({"value": {"$gte": 10, "$lte": 50.5}}, "value BETWEEN 10 AND 50.5"),
     "filter_exists": ({"k": {"$exists": True}}, "k IS NOT NULL"),
     "filter_all_any": ({"$or": [{"type": "click"}, {"$and": [{"k": {"$gte": 50}}, {"value": {"$lte": 20}}]}]}, "event_type = 'click' OR (k >= 50 AND value <= 20)"),
-    "filter_typed_equality": ({"k": 5.0}, "false"),
-    "filter_range_on_string": ({"type": {"$gte": 1}}, "false"),
-    "filter_empty_any": ({"$or": []}, "false"),
+    "filter_typed_equality": ({"$or": [{"k": 5.0}, {"k": 7}]}, "k = 7"),
+    "filter_range_on_string": ({"$or": [{"type": {"$gte": 1}}, {"value": {"$gte": 60}}]}, "value >= 60"),
+    "filter_empty_any": ({"$or": [{"$or": []}, {"type": "click"}]}, "event_type = 'click'"),
     "filter_empty_all": ({"$and": []}, "true"),
 }
 TREE = {"op": "all", "filters": [{"op": "not_equals", "field": "type", "value": {"type": "string", "value": "click"}}, {"op": "range", "field": "value", "lower": {"type": "float", "value": 5}, "upper": None}]}

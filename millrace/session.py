@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "millrace", **conf: str) -> SparkSession:
@@ -49,5 +50,27 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def numbered(df: DataFrame, order: list[str], first: int, name: str) -> DataFrame:
+    """df, cut, with consecutive numbers from first on in the given order; counted per range of the order, so no task sees all rows."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)  # the id holds the range in its upper bits and the place within it below
+    start, total = {}, first
+    for p, n in sorted((r["_p"], r["count"]) for r in placed.groupBy(part.alias("_p")).count().collect()):  # a row for each range
+        start[p], total = total, total + n
+    if not start:
+        return placed.withColumn(name, F.lit(first).cast("long")).drop("_m")
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in start.items() for x in pair]), part)
+    return placed.withColumn(name, (offset + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_m")
+
+
+#: Rows of fixed-width keys up to which a set is broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_or_shuffled(keys: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """keys, marked for broadcast if its counted rows stay within the bound; keys must be cheap to read again, as a checkpoint is."""
+    return F.broadcast(keys) if keys.count() <= bound else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

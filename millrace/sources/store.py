@@ -8,12 +8,16 @@ Files are reached through Hadoop's file systems, as Spark's own are.
 
 from __future__ import annotations
 
+import contextlib
 import json
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.model import CorruptStore
+from millrace.model import CorruptStore, MillraceError
+
+LOCK = "writer.lock"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -40,6 +44,11 @@ def _read_text(spark, path: str) -> str:
 
 def save(spark: SparkSession, folder: str, tables: dict[str, DataFrame], meta: dict | None = None) -> dict:
     """Writes the tables as the next version and makes it the current one. Returns the manifest."""
+    with writer(spark, folder):
+        return _save(spark, folder, tables, meta)
+
+
+def _save(spark: SparkSession, folder: str, tables: dict[str, DataFrame], meta: dict | None) -> dict:
     fs, root, Path = _fs(spark, folder)
     version = 1 + max([_version(x) for x in _names(fs, root) if x.startswith("v")], default=0)
     body = {"version": version, "meta": meta or {}, "tables": {}}
@@ -52,11 +61,57 @@ def save(spark: SparkSession, folder: str, tables: dict[str, DataFrame], meta: d
     out = fs.create(staged, True)
     out.write(bytearray(json.dumps(body, sort_keys=True).encode()))
     out.close()
+    _replace(spark, fs, staged, final)
+    return body
+
+
+def _replace(spark: SparkSession, fs, staged, final) -> None:
+    """Puts staged in the place of final in one step; file systems that have no such step delete first, and a reader finds the staged one meanwhile."""
+    jvm = spark.sparkContext._jvm
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        context.rename(staged, final, how)
+        return
+    except Py4JError:
+        if not fs.exists(staged):
+            raise
     if fs.exists(final):
         fs.delete(final, False)
     if not fs.rename(staged, final):
         raise CorruptStore("the manifest could not be put in place")
-    return body
+
+
+@contextlib.contextmanager
+def writer(spark: SparkSession, folder: str):
+    """Holds the folder's lock; another writer meanwhile is an error. A lock left by a lost driver is taken away by break_lock."""
+    fs, root, Path = _fs(spark, folder)
+    fs.mkdirs(root)
+    lock = Path(f"{folder}/{LOCK}")
+    try:
+        out = fs.create(lock, False)
+    except Py4JError as x:
+        raise MillraceError(f"{folder} is being written by another") from x
+    out.write(bytearray(spark.sparkContext.applicationId.encode()))
+    out.close()
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def break_lock(spark: SparkSession, folder: str) -> bool:
+    """Takes a lock away, and says whether there was one."""
+    fs, _, Path = _fs(spark, folder)
+    return fs.delete(Path(f"{folder}/{LOCK}"), False)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether anything was ever saved in the folder: a manifest or a version."""
+    fs, root, _ = _fs(spark, folder)
+    return any(x.startswith("manifest.") or _version(x) for x in _names(fs, root))
 
 
 def _names(fs, root) -> list[str]:
@@ -64,7 +119,7 @@ def _names(fs, root) -> list[str]:
 
 
 def _version(name: str) -> int:
-    return int(name[1:]) if name[1:].isdigit() else 0
+    return int(name[1:]) if name[:1] == "v" and name[1:].isdigit() else 0
 
 
 def manifest(spark: SparkSession, folder: str) -> dict:

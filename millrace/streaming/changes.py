@@ -23,11 +23,10 @@ def apply_batch(corpus: Corpus, batch: DataFrame) -> Corpus:
 
 
 def load(spark, folder: str) -> tuple[Corpus, int]:
-    """The stored corpus and the last batch applied to it; an empty one where nothing is stored."""
-    try:
-        tables, body = store.load(spark, folder, verify=False)
-    except store.CorruptStore:
+    """The stored corpus and the last batch applied to it; an empty one where nothing was ever stored. A damaged store is an error."""
+    if not store.exists(spark, folder):
         return Corpus.empty(spark), -1
+    tables, body = store.load(spark, folder)
     meta = body["meta"]
     return Corpus(tables["records"], tables["chunks"], meta["generation"], meta["next_id"]), meta["batch"]
 

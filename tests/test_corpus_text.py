@@ -106,4 +106,4 @@ def test_formats(spark, tmp_path):
     assert [tuple(r) for r in formats.broken_references(c["qrels"], c["corpus"], c["queries"]).collect()] == [("q1", "d9", "unknown document")]
     runs = spark.createDataFrame([("q1", "d1", 1), ("q1", "d2", 2)], "query_id string, doc_id string, rank long")
     assert sorted(r.value for r in formats.run_lines(runs, 10, "me").collect()) == ["q1 Q0 d1 1 10 me", "q1 Q0 d2 2 9 me"]
-    assert formats.synthetic_chunks(spark, 3).first().text == "synthetic chunk 0 topic0 group0 rareterm0"
+    assert formats.synthetic_chunks(spark, 3).first().text == "note 0 on subject0 by team0, see entry0"

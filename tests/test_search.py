@@ -59,7 +59,8 @@ def test_errors(spark, space):
         vectors.search(df, q, 3).collect()
     with pytest.raises(InvalidQuery):
         vectors.search(df, q, 3, metric="l2")
-    assert vectors.search(df, q, 0).count() == 0
+    with pytest.raises(DimensionMismatch):
+        vectors.search(df, q, 0)
     assert issubclass(DimensionMismatch, InvalidQuery)
 
 
