@@ -10,18 +10,18 @@ Texts with one set of shingles form a class; everything below works on classes.
    both prefixes. Classes that share one form a bucket.
 3. A small bucket gives all its pairs that pass the length and the positional
    filter. A large bucket gives only pairs with its least class, the pivot.
-4. A pair is verified once, on whole sets; before that, counts of both sets
-   over ranges of the hash space bound the difference from below (the suffix
-   filter).
-5. Members of a large bucket are written as differences from the pivot. Two
-   members that are similar either are both similar to the pivot, or share an
-   element of their differences: if |Dx| + |Dy| is within the allowed
-   difference, both lie within it of the pivot, since the sets differ in size
-   by no more than the differences. So prefixes of the differences form new
-   buckets, and steps 3 to 5 repeat on these. A bucket never holds its own
-   pivot's differences, so buckets shrink and the process ends. The links
-   found this way connect every component, and a group of k near copies costs
-   about k comparisons, not k * k; they need not be all links of a component.
+4. These pairs are verified, each once, on whole sets; before that, counts of
+   both sets over ranges of the hash space bound the difference from below (the
+   suffix filter). Members of large buckets are also written as differences from
+   their pivot, and steps of least labels over the links found merge most of a
+   group of near copies.
+5. What is left of a pivot's group are pairs of members under different labels.
+   |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, so members under other labels than the
+   group's most frequent one are judged against all by products of incidence
+   matrices of the differences, block by block. A block gives no pairs but what
+   connects its members, at most a row each. A pair that shares two pivots is
+   judged in both groups. Where a group of k near copies has r members that are
+   similar to no pivot of the group, this takes k * r products.
 6. Links are counted in full once components are known, as similar classes lie
    in one component. Every class is written as its difference from the least
    class; |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, so all pairs of two blocks of
@@ -52,12 +52,11 @@ from millrace.llm.sizes import small_or_shuffled
 from millrace.session import cut
 
 U64 = np.uint64
-#: Buckets of up to this many classes are joined pair by pair; larger ones go by their pivot. The
-#: positional filter drops most pairs of buckets of differences, which may be larger.
+#: Buckets of up to this many classes are joined pair by pair; larger ones go by their pivot.
 SMALL_BUCKET = 24
-SMALL_DIFFERENCE_BUCKET = 512
+LABEL_STEPS = 3
 SALTS = 16
-#: Classes of a component in a block for counting links, on average: a sixteenth of it, within these bounds.
+#: Classes of a group or component in a block of pairs, on average: a sixteenth of it, within these bounds.
 LEAST_BLOCK = 128
 LINK_BLOCK = 512
 #: Columns of an incidence matrix at a time.
@@ -66,8 +65,8 @@ LINK_COLUMNS = 2048
 #: them compressed, which takes no more than a few bits for each shingle that a task has read.
 SKETCH_BITS = (18, 24)
 RANGES = 16
-#: Elements of differences that a task holds before it puts them out.
-FLUSH = 50_000
+#: Bytes of differences that a task holds before it puts them out.
+FLUSH_BYTES = 1 << 22
 
 
 def shingle_sets(offsets, data, n: int):
@@ -148,11 +147,6 @@ def max_difference(a, b, percent: int):
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def _max_difference_any(size, percent: int):
-    """The same against a partner of any size."""
-    return max_difference(size, size * 100 // percent, percent)
-
-
 def _prefix_rows(docs: DataFrame, n: int, percent: int, bits: int, sketch) -> DataFrame:
     def run(batches):
         counts = sketch.value
@@ -175,41 +169,34 @@ def _prefix_rows(docs: DataFrame, n: int, percent: int, bits: int, sketch) -> Da
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold two components or more, with the bucket's count and its pivot: the class with fewest rarer elements before."""
+    """Rows of buckets of two classes or more, with the bucket's count and its pivot: the class with fewest rarer elements before."""
     per = rows.repartition("token").dropDuplicates(["token", "cls"])
     bucket = Window.partitionBy("token")
-    counted = per.select(
-        "*",
-        F.count("cls").over(bucket).alias("members"),
-        F.min(F.struct("pos", "cls")).over(bucket)["cls"].alias("pivot"),
-        (F.min("label").over(bucket) != F.max("label").over(bucket)).alias("open"),
-    )
-    return counted.filter("open")
+    counted = per.select("*", F.count("cls").over(bucket).alias("members"), F.min(F.struct("pos", "cls")).over(bucket)["cls"].alias("pivot"))
+    return counted.filter("members > 1")
 
 
 def _tasks(buckets: DataFrame, percent: int, small_bucket: int) -> DataFrame:
     """(pivot, cls, expand): pairs to verify; expand asks for the difference as well.
 
-    Sizes of sets give the length filter. `whole` elements are listed per class
-    (its set at first, its difference from a pivot later), `pos` of them before
-    this one; similar classes share (whole + whole - allowed difference) / 2 of
-    them, and none before their first shared one: the positional filter.
+    Sizes of sets give the length filter. Similar classes share (a + b - allowed
+    difference) / 2 elements, and none before their first shared one: the
+    positional filter.
     """
     small = buckets.filter(F.col("members") <= small_bucket)
     a, b = small.alias("a"), small.alias("b")
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.label") != F.col("b.label"))
+    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.cls") < F.col("b.cls"))
     sa, sb = F.col("a.size"), F.col("b.size")
     near &= 100 * F.least(sa, sb) >= percent * F.greatest(sa, sb)
     allowed = F.floor((sa + sb) * (100 - percent) / F.lit(100.0 + percent) + 1e-9)
-    left = F.least(F.col("a.whole") - F.col("a.pos"), F.col("b.whole") - F.col("b.pos"))
-    near &= 2 * left >= F.col("a.whole") + F.col("b.whole") - allowed
+    near &= 2 * F.least(sa - F.col("a.pos"), sb - F.col("b.pos")) >= sa + sb - allowed
     pairs = a.join(b, near).select(F.col("a.cls").alias("pivot"), F.col("b.cls").alias("cls"), F.lit(False).alias("expand"))
     large = buckets.filter((F.col("members") > small_bucket) & (F.col("cls") != F.col("pivot"))).select("pivot", "cls", F.lit(True).alias("expand"))
     return pairs.unionByName(large).groupBy("pivot", "cls").agg(F.max("expand").alias("expand"))
 
 
 def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows kind 0: links (pivot, cls). Rows kind 1: elements of the differences of expanded members."""
+    """(pivot, cls, linked, size, diff): pairs that are similar, and all members that were to be expanded with their difference from the pivot."""
     salted = tasks.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
     heads = salted.select("pivot", "salt").distinct().select("pivot", "salt", F.col("pivot").alias("cls"), F.lit(False).alias("expand"), F.lit(True).alias("head"))
     work = salted.select("pivot", "salt", "cls", "expand", F.lit(False).alias("head")).unionByName(heads).join(sets, "cls")
@@ -220,8 +207,8 @@ def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         held, mine, own_hist, last = None, None, None, None
         edges = np.arange(1, RANGES, dtype=U64) << U64(60)
         hist = lambda x: np.diff(np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]))
-        out = _Rows()
         for b in batches:
+            out, held_bytes = ([], [], [], [], []), 0
             pivots, classes, expands, heads, blobs = (b.column(b.schema.get_field_index(c)) for c in ("pivot", "cls", "expand", "head", "shingles"))
             for pivot, cls, expand, head, blob in zip(pivots.to_pylist(), classes.to_pylist(), expands.to_pylist(), heads.to_pylist(), blobs):
                 values = np.frombuffer(blob.as_buffer(), U64)
@@ -239,71 +226,99 @@ def _verify(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 merged = np.concatenate([mine, values])
                 merged.sort(kind="stable")
                 twin = merged[1:] == merged[:-1]
-                if len(merged) - 2 * int(twin.sum()) <= allowed:
-                    out.add(0, pivot, cls, _NO_KEY, len(values), 0)
+                linked = len(merged) - 2 * int(twin.sum()) <= allowed
+                diff = None
                 if expand:
                     single = np.ones(len(merged), bool)
                     single[1:] &= ~twin
                     single[:-1] &= ~twin
-                    diff = merged[single]
-                    out.add(1, pivot, cls, tk.mix(diff ^ U64(int.from_bytes(pivot[:8], "little"))), len(values), len(diff))
-                if out.elements >= FLUSH:
-                    yield out.flush()
-            if out.elements:
-                yield out.flush()
-
-    return work.select("pivot", "salt", "cls", "expand", "head", "shingles").mapInArrow(tk.tidy(run), "kind int, pivot binary, cls binary, token long, size int, whole int")
-
-
-_NO_KEY = np.zeros(1, U64)
-
-
-class _Rows:
-    """Rows of verified pairs: one for each key, the rest of a pair's row repeated."""
-
-    def __init__(self):
-        self.pairs, self.keys, self.elements = [], [], 0
-
-    def add(self, kind: int, pivot: bytes, cls: bytes, keys: np.ndarray, size: int, whole: int) -> None:
-        if len(keys):
-            self.pairs.append((kind, pivot, cls, size, whole))
-            self.keys.append(keys)
-            self.elements += len(keys)
+                    diff = merged[single].tobytes()
+                    held_bytes += len(diff)
+                if linked or expand:
+                    _put(out, pivot, cls, linked, len(values), diff)
+                if held_bytes >= FLUSH_BYTES:
+                    yield _verified(out)
+                    out, held_bytes = ([], [], [], [], []), 0
+            if out[0]:
+                yield _verified(out)
 
-    def flush(self) -> pa.RecordBatch:
-        each = pa.array(np.repeat(np.arange(len(self.pairs)), [len(k) for k in self.keys]))
-        kind, pivot, cls, size, whole = (pa.array(x, t).take(each) for x, t in zip(zip(*self.pairs), (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())))
-        token = pa.array(np.concatenate(self.keys).view(np.int64))
-        self.__init__()
-        return pa.RecordBatch.from_arrays([kind, pivot, cls, token, size, whole], names=["kind", "pivot", "cls", "token", "size", "whole"])
+    return work.select("pivot", "salt", "cls", "expand", "head", "shingles").mapInArrow(tk.tidy(run), "pivot binary, cls binary, linked boolean, size long, diff binary")
 
 
-def _difference_prefixes(elements: DataFrame, percent: int) -> DataFrame:
-    """The prefix of every difference, rarest elements of the pivot's group first; elements of one difference only are left out."""
-    counted = elements.join(elements.groupBy("token").agg(F.count("*").alias("n")), "token")
-    place = Window.partitionBy("pivot", "cls").orderBy("n", "token")
-    ranked = counted.withColumn("pos", F.row_number().over(place) - 1)
-    any_size = F.col("size") + F.floor(F.col("size") * 100 / F.lit(percent))
-    allowed = F.floor(any_size * (100 - percent) / F.lit(100.0 + percent) + 1e-9)
-    return ranked.filter((F.col("pos") <= allowed) & (F.col("n") > 1)).select("token", "cls", "size", "pos", "whole")
+def _verified(out) -> pa.RecordBatch:
+    kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["pivot", "cls", "linked", "size", "diff"])
 
 
-def _labels(links: DataFrame, known: DataFrame | None) -> DataFrame:
-    """(cls, label): the least label known of the pivots that a class is linked to.
+def _labels(links: DataFrame) -> DataFrame:
+    """(cls, label) after LABEL_STEPS steps of least labels over links (pivot, cls).
 
     Equal labels mean one component; a component can keep several, which costs
     comparisons but no result.
     """
-    pivots = links.select("pivot").distinct()
-    if known is None:
-        named = pivots.withColumn("label", F.col("pivot"))
-    else:
-        named = pivots.join(known.withColumnRenamed("cls", "pivot"), "pivot", "left").withColumn("label", F.coalesce("label", "pivot"))
+    known = links.select(F.col("pivot").alias("cls")).unionByName(links.select("cls")).distinct().withColumn("label", F.col("cls"))
+    for _ in range(LABEL_STEPS):
+        known = cut(known)
+        named = small_or_shuffled(known)
+        least = links.join(named.select(F.col("cls").alias("pivot"), F.col("label").alias("_p")), "pivot").join(named.select("cls", F.col("label").alias("_c")), "cls")
+        least = least.withColumn("label", F.least("_p", "_c"))
+        known = known.unionByName(least.select(F.col("pivot").alias("cls"), "label")).unionByName(least.select("cls", "label")).groupBy("cls").agg(F.min("label").alias("label"))
+    return cut(known)
+
+
+def _within_groups(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (pivot, cls) that connect similar members under different labels within the groups of pivots; members: pivot, cls, size, diff."""
+    named = members.select("pivot", "cls").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = cut(named)
-    out = links.join(small_or_shuffled(named), "pivot").select("cls", "label").unionByName(named.select(F.col("pivot").alias("cls"), "label"))
-    if known is not None:
-        out = out.unionByName(known)
-    return out.groupBy("cls").agg(F.min("label").alias("label"))
+    held = named.groupBy("pivot", "label").agg(F.count("*").alias("n"))
+    groups = held.groupBy("pivot").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    block = F.least(F.lit(LINK_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.col("members") / 16))
+    groups = groups.select("pivot", F.col("top.label").alias("major"), F.ceil(F.col("members") / block).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil((F.col("members") - F.col("top.n")) / block)).cast("int").alias("minor_parts"))
+    rows = members.join(named, ["pivot", "cls"]).join(small_or_shuffled(cut(groups)), "pivot")
+    place = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    all_of = rows.select("pivot", F.explode(F.sequence(F.lit(0), F.col("minor_parts") - 1)).alias("i"), place(F.col("parts")).alias("j"), F.lit(False).alias("minor"), "cls", "size", "label", "diff")
+    minor = rows.filter("label <> major").select("pivot", place(F.col("minor_parts")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("minor"), "cls", "size", "label", "diff")
+    rows = all_of.unionByName(minor).repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+
+    def connect(group):
+        minor, classes, sizes, labels, diffs = zip(*group)
+        sizes, flag = np.array(sizes), np.array(minor)
+        left, right = np.flatnonzero(flag), np.flatnonzero(~flag)
+        if not len(left) or not len(right):
+            return None
+        near = _linked(sizes, [np.frombuffer(d, U64) for d in diffs], left, right, percent)
+        _, name = np.unique([x.hex() for x in labels], return_inverse=True)
+        near &= name[left][:, None] != name[right][None]
+        # least places spread over the links until nothing changes; each member then points to its place
+        at = np.arange(len(flag))
+        while True:
+            over = np.where(near, at[right][None], len(flag)).min(1, initial=len(flag))
+            back = np.where(near, at[left][:, None], len(flag)).min(0, initial=len(flag))
+            new = at.copy()
+            new[left], new[right] = np.minimum(at[left], over), np.minimum(at[right], back)
+            if (new == at).all():
+                break
+            at = new
+        moved = np.flatnonzero(at != np.arange(len(flag)))
+        if not len(moved):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([classes[i] for i in at[moved]], pa.binary()), pa.array([classes[i] for i in moved], pa.binary())], names=["pivot", "cls"])
+
+    def run(batches):
+        key, group = None, []
+        for b in batches:
+            for *now, minor, cls, size, label, diff in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
+                if now != key:
+                    found = connect(group) if group else None
+                    if found is not None:
+                        yield found
+                    key, group = now, []
+                group.append((minor, cls, size, label, diff))
+        found = connect(group) if group else None
+        if found is not None:
+            yield found
+
+    return rows.mapInArrow(tk.tidy(run), "pivot binary, cls binary").filter("pivot <> cls").distinct()
 
 
 def _put(out, *values) -> None:
@@ -424,22 +439,15 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     rows = measured.filter(F.col("piece").isNull()).select("doc_id", "cls", "size")
     sketch = spark.sparkContext.broadcast(_merge_sketch(measured.filter(F.col("piece").isNotNull()).select("piece", "counts"), bits))
     reps = cut(rows.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0)).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size")))
-    level = _prefix_rows(docs.filter(F.col("doc_id").isNotNull()), n, percent, bits, sketch).withColumn("label", F.col("cls")).withColumn("whole", F.col("size"))
-    links, known, first = None, None, True
-    while True:
-        tasks = cut(_tasks(cut(_buckets(level)), percent, SMALL_BUCKET if first else SMALL_DIFFERENCE_BUCKET))
-        wanted = tasks.select("pivot").unionByName(tasks.select(F.col("cls").alias("pivot"))).distinct()
-        wanted = cut(wanted.join(reps, wanted["pivot"] == reps["cls"]).select(F.col("rep").alias("doc_id")))
-        found = cut(_verify(tasks, _sets(docs, wanted, n), percent))
-        new = found.filter("kind = 0").select("pivot", "cls")
-        links = new if links is None else links.unionByName(new)
-        level = cut(_difference_prefixes(found.filter("kind = 1"), percent))
-        if not level.limit(1).count():
-            break
-        # members of one component need no further link between them
-        known = cut(_labels(new, known))
-        level = level.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        first = False
+    prefixes = _prefix_rows(docs.filter(F.col("doc_id").isNotNull()), n, percent, bits, sketch)
+    tasks = cut(_tasks(cut(_buckets(prefixes)), percent, SMALL_BUCKET))
+    wanted = tasks.select("pivot").unionByName(tasks.select(F.col("cls").alias("pivot"))).distinct()
+    wanted = cut(wanted.join(reps, wanted["pivot"] == reps["cls"]).select(F.col("rep").alias("doc_id")))
+    found = cut(_verify(tasks, _sets(docs, wanted, n), percent))
+    links = found.filter("linked").select("pivot", "cls")
+    members = found.filter("diff IS NOT NULL").select("pivot", "cls", "size", "diff")
+    if not members.isEmpty():
+        links = links.unionByName(cut(_within_groups(members, _labels(links), percent)))
     named = links.join(reps.select(F.col("cls"), F.col("rep").alias("b")), "cls").join(reps.select(F.col("cls").alias("pivot"), F.col("rep").alias("a")), "pivot").select("a", "b")
     named = cut(named.distinct())
     comps = components(named, "a", "b")
@@ -466,7 +474,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the members of a group other than the one of least id; of rows repeated as a whole one stays.
+    """docs without the members of a group other than the one of least id; of rows with one id and text one stays.
 
     Rows without an id stay. An id is taken to name one text: where it names
     several, they go or stay together.
@@ -477,7 +485,10 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     kept = docs.join(small_or_shuffled(gone), "doc_id", "left_anti")
     if twice.limit(1).count():
         many = small_or_shuffled(twice)
-        kept = kept.join(many, "doc_id", "left_anti").unionByName(kept.join(many, "doc_id", "left_semi").dropDuplicates())
+        others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+        place = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(others))
+        one = kept.join(many, "doc_id", "left_semi").withColumn("_place", place).filter("_place = 1")
+        kept = kept.join(many, "doc_id", "left_anti").unionByName(one.select(*kept.columns))
     return kept.select(*docs.columns)
 
 
