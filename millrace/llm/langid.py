@@ -378,8 +378,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the texts whose language the model rejects; learns from the languages that docs gives."""
-    found = identify(docs, learn(docs, F.lit(True), text_col=text_col), text_col)
+    """docs without the texts whose language the model rejects; learns from the languages that docs gives.
+
+    Where docs gives none there is no model to reject by, and all rows stay.
+    """
+    model = learn(docs, F.lit(True), text_col=text_col)
+    if not model.langs:
+        return docs
+    found = identify(docs, model, text_col)
     return found.filter(~F.col("lang_rejected")).select(*docs.columns)
 
 

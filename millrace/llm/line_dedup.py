@@ -10,11 +10,9 @@ Defined results:
 * null text: no lines, returned as it came; empty lines are kept and never counted;
 * a null site counts for no line; a null doc_id is treated like any other id;
 * repeated rows and ties need no rule: the verdict depends on the line only;
-* lines that hold more than `max_share` of a document's characters are left in
-  place, as the registered query's SQL has it, whether the document is a copy or
-  a short page of boilerplate;
-* with max_share None every wide-spread line goes, and what whole copies spread
-  is held back at the count: a line needs min_sites distinct texts as well;
+* a line needs min_sites distinct texts as well, so that copies of one text on
+  many sites do not make its lines boilerplate; nothing else exempts a line,
+  whatever share of its document it is;
 * an empty table gives an empty table; extra columns pass through untouched.
 """
 
@@ -40,12 +38,12 @@ def _key(line: Column) -> Column:
     return F.xxhash64(_stripped(line))
 
 
-def line_table(docs: DataFrame, doc_col: str, text_col: str, site_col: str) -> DataFrame:
+def line_table(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
     """One row for each line that holds more than blanks."""
     return (
-        docs.select(F.col(doc_col).alias("__doc"), F.col(site_col).alias("__site"), F.xxhash64(text_col).alias("__text"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("__line"))
+        docs.select(F.col(site_col).alias("__site"), F.xxhash64(text_col).alias("__text"), F.explode(F.split(F.col(text_col), "\n", -1)).alias("__line"))
         .filter(F.length(_stripped(F.col("__line"))) > 0)
-        .select("__doc", "__site", "__text", _key(F.col("__line")).alias("__key"))
+        .select("__site", "__text", _key(F.col("__line")).alias("__key"))
     )
 
 
@@ -78,8 +76,6 @@ def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
 def remove_boilerplate(
     docs: DataFrame,
     min_sites: int = 10,
-    max_share: float | None = 0.5,
-    doc_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
 ) -> DataFrame:
@@ -89,21 +85,17 @@ def remove_boilerplate(
     columns of docs with these names are replaced.
     """
     docs = docs.drop("line_count", "removed_lines")
-    lines = line_table(docs, doc_col, text_col, site_col)
+    lines = line_table(docs, text_col, site_col)
     keys = small_or_shuffled(cut(boilerplate_keys(lines, min_sites)))
-    if max_share is None:
-        texts = lines.filter(F.col("__site").isNotNull()).join(keys, "__key", "left_semi").select("__key", F.col("__text").alias("__site"))
-        keys = small_or_shuffled(cut(boilerplate_keys(texts, min_sites)))
-    per_doc = lines.select("__doc", "__key").join(keys, "__key").groupBy("__doc").agg(F.collect_set("__key").alias("__spread"))
+    texts = lines.filter(F.col("__site").isNotNull()).join(keys, "__key", "left_semi").select("__key", F.col("__text").alias("__site"))
+    keys = small_or_shuffled(cut(boilerplate_keys(texts, min_sites)))
+    # by text, so that null ids do not meet and equal texts are listed once
+    per_text = lines.select("__text", "__key").join(keys, "__key").groupBy("__text").agg(F.collect_set("__key").alias("__spread"))
     split = F.split(F.col(text_col), "\n", -1)
-    out = docs.join(per_doc, F.col(doc_col).eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    out = docs.withColumn("__hash", F.xxhash64(text_col)).join(per_text, F.col("__hash") == F.col("__text"), "left").drop("__text", "__hash")
     out = out.withColumn("__kept", F.when(F.col("__spread").isNull(), split).otherwise(
         F.filter(split, lambda line: (F.length(_stripped(line)) == 0) | ~F.array_contains(F.col("__spread"), _key(line)))
     ))
-    if max_share is not None:
-        size = lambda parts: F.length(F.array_join(parts, ""))
-        mostly = (size(split) - size(F.col("__kept"))) > max_share * size(split)
-        out = out.withColumn("__kept", F.when(mostly, split).otherwise(F.col("__kept")))
     out = out.withColumn("line_count", F.coalesce(F.size(F.filter(split, lambda x: F.length(_stripped(x)) > 0)), F.lit(0)).cast("long"))
     out = out.withColumn("removed_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size("__kept")).cast("long"))
     out = out.withColumn(text_col, F.when(F.col("removed_lines") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col)))
@@ -123,25 +115,24 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH lines AS (
-  SELECT doc_id, source, i AS pos, parts[i] AS line, trim(parts[i], chr(32) || chr(9) || chr(13)) AS body
-  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, source, digest, i AS pos, parts[i] AS line, trim(parts[i], chr(32) || chr(9) || chr(13)) AS body
+  FROM (SELECT doc_id, source, md5(text) AS digest, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
        LATERAL (SELECT unnest(generate_series(1, len(parts))) AS i)
 ), spread AS (
-  SELECT body FROM lines WHERE length(body) > 0 GROUP BY body HAVING count(DISTINCT source) >= 10
+  SELECT body FROM lines WHERE length(body) > 0 GROUP BY body HAVING count(DISTINCT source) >= 10 AND count(DISTINCT digest) FILTER (source IS NOT NULL) >= 10
 ), marked AS (
   SELECT l.*, s.body IS NOT NULL AS wide FROM lines l LEFT JOIN spread s ON l.body = s.body
 ), per_doc AS (
   SELECT doc_id,
          count(*) FILTER (length(body) > 0) AS n_lines,
          count(*) FILTER (wide) AS wide_lines,
-         coalesce(sum(length(line)) FILTER (wide), 0) > 0.5 * sum(length(line)) AS mostly,
          string_agg(line, chr(10) ORDER BY pos) AS whole,
          string_agg(line, chr(10) ORDER BY pos) FILTER (NOT wide) AS rest
   FROM marked GROUP BY doc_id
 )
 SELECT d.doc_id,
        coalesce(p.n_lines, 0)::BIGINT AS n_lines,
-       (CASE WHEN coalesce(p.mostly, true) THEN 0 ELSE p.wide_lines END)::BIGINT AS n_removed,
-       sha256(CASE WHEN p.doc_id IS NULL THEN '' WHEN p.mostly OR p.wide_lines = 0 THEN p.whole ELSE coalesce(p.rest, '') END) AS kept_sha256
+       coalesce(p.wide_lines, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN p.doc_id IS NULL THEN '' WHEN p.wide_lines = 0 THEN p.whole ELSE coalesce(p.rest, '') END) AS kept_sha256
 FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
 """

@@ -4,7 +4,9 @@ A piece asks for a vector: tokens, one document, and attention cost (tokens
 squared). A sequence offers a capacity in each. Pieces are taken longest first
 and go to the open sequence that fits under every constraint and scores best,
 by weighted dot-product of demand and residual or by the norm of the residual
-that would be left; a new sequence opens only where none fits.
+that would be left; a new sequence opens only where none fits. All three
+dimensions are in the score, also where a limit cannot refuse a piece; there
+the residual is scored in steps, so that few states are told apart.
 
 Pieces of one length are interchangeable, so the plan is made on the counts of
 lengths: at most `capacity` rows reach the driver whatever the corpus holds.
@@ -20,6 +22,7 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import os
 import zlib
 from dataclasses import dataclass
@@ -221,80 +224,125 @@ def tokenise(docs: DataFrame, capacity: int, path: str, end_id: int, id_col: str
     return docs.select(id_col, text_col).mapInArrow(tk.tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+#: Steps in which the residual of a dimension is scored where it cannot refuse a piece.
+LEVELS = 16
+
+
 @dataclass(frozen=True)
 class Capacity:
-    """What a sequence offers. Limits left as None cannot bind."""
+    """What a sequence offers: tokens, documents and attention cost. Limits left as None cannot bind, but are scored like the others.
+
+    weights are those of the three dimensions in the score. Under the rule "norm"
+    the sequence whose residual is shortest afterwards is best, under "dot" the
+    one whose residual points most along the piece.
+    """
 
     tokens: int = 4096
     documents: int | None = None
     attention: int | None = None
     rule: str = "norm"  # or "dot"
-    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
+    weights: tuple[float, float, float] = (1.0, 1 / 64, 1 / 64)
 
-    def vector(self) -> np.ndarray:
-        return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.int64)
+    def vector(self) -> tuple[int, int, int]:
+        return self.tokens, self.documents or self.tokens, self.attention or self.tokens**2
 
-    def binding(self) -> np.ndarray:
-        """Dimensions that can refuse a piece that fits by tokens: a document has a token or more, and squares sum to no more than the square of the sum."""
-        v = self.vector()
-        return np.array([True, v[1] < self.tokens, v[2] < self.tokens**2])
+    def units(self) -> tuple[int, int, int]:
+        """Units in which residuals are kept: exact where a dimension can refuse a piece that fits by tokens, LEVELS steps of the cost elsewhere.
+
+        A document has a token or more, and squares sum to no more than the square of the sum.
+        """
+        _, documents, attention = self.vector()
+        return 1, 1 if documents < self.tokens else max(1, documents // (LEVELS * LEVELS)), 1 if attention < self.tokens**2 else max(1, attention // LEVELS)
+
+
+class _Open:
+    """Open sequences by residual: for each pair of documents and attention left, the tokens left in order, and ranges of sequences."""
+
+    def __init__(self):
+        self.groups: dict[tuple[int, int], list[int]] = {}
+        self.ranges: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
+
+    def put(self, state: tuple[int, int, int], first: int, n: int, used: int, held: int) -> None:
+        if n and state[0] > 0:
+            if state not in self.ranges:
+                self.ranges[state] = []
+                bisect.insort(self.groups.setdefault(state[1:], []), state[0])
+            self.ranges[state].append((first, n, used, held))
+
+    def take(self, state: tuple[int, int, int]) -> tuple[int, int, int, int]:
+        out = self.ranges[state].pop()
+        if not self.ranges[state]:
+            del self.ranges[state]
+            tokens = self.groups[state[1:]]
+            del tokens[bisect.bisect_left(tokens, state[0])]
+            if not tokens:
+                del self.groups[state[1:]]
+        return out
 
 
 def plan(counts: dict[int, int], capacity: Capacity) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, ranks, first sequence, offset): ranks r.. of the length go to sequences s.., one each."""
-    cap, dims = capacity.vector(), capacity.binding()
-    scale, weights = cap[dims].astype(float), np.array(capacity.weights)[dims]
-    total = cap[dims]
-    states: dict[tuple, list[tuple[int, int, int]]] = {}  # residual -> ranges of sequences (first, how many, tokens used)
-    table = np.zeros((0, int(dims.sum())), np.int64)
-    dirty, next_sequence, out = True, 0, []
-
-    def put(residual: np.ndarray, first: int, n: int, used: int) -> None:
-        if n and residual[0] > 0:
-            states.setdefault(tuple(residual.tolist()), []).append((first, n, used))
+    cap, unit = capacity.vector(), capacity.units()
+    exact = tuple(u == 1 for u in unit)
+    full = tuple(c // u for c, u in zip(cap, unit))
+    weights = [w / f / f for w, f in zip(capacity.weights, full)]
+    norm = capacity.rule == "norm"
+    open_, next_sequence, out = _Open(), 0, []
+
+    def after(state, need, held, copies):
+        """The residual once `copies` pieces have joined `held` documents of a sequence."""
+        documents = state[1] - copies if exact[1] else full[1] - (held + copies) // unit[1]
+        attention = state[2] - copies * need[2] if exact[2] else max(0, state[2] - round(copies * need[2] / unit[2]))
+        return state[0] - copies * need[0], documents, attention
+
+    def fitting(state, need):
+        """How many pieces a sequence in this state takes."""
+        n = state[0] // need[0]
+        for k in (1, 2):
+            if exact[k]:
+                n = min(n, state[k] // need[k])
+        return n
 
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
-        need = np.array([length, 1, length * length], np.int64)
-        if (need > cap).any():
+        need = (length, 1, length * length)
+        if any(x > c for x, c in zip(need, cap)):
             raise ValueError(f"a piece of {length} tokens exceeds the capacity")
-        need = need[dims]
+        soft = tuple(x if e else x / u for x, e, u in zip(need, exact, unit))
         while left:
-            if dirty:
-                table, dirty = np.array(list(states), np.int64).reshape(-1, int(dims.sum())), False
-            fits = np.flatnonzero((table >= need).all(1)) if len(table) else np.zeros(0, np.int64)
-            if len(fits):
-                residual = table[fits]
-                if capacity.rule == "dot":
-                    best = np.argmax((weights * need / scale * residual / scale).sum(1))
+            best, state = None, None
+            for (documents, attention), tokens in open_.groups.items():
+                if (exact[1] and documents < 1) or (exact[2] and attention < need[2]) or tokens[-1] < length:
+                    continue
+                r = tokens[bisect.bisect_left(tokens, length)] if norm else tokens[-1]
+                if norm:
+                    value = weights[0] * (r - length) ** 2 + weights[1] * (documents - soft[1]) ** 2 + weights[2] * (attention - soft[2]) ** 2
                 else:
-                    best = np.argmin((weights * ((residual - need) / scale) ** 2).sum(1))
-                state = tuple(residual[best].tolist())
-                first, have, used = states[state].pop()
-                if not states[state]:
-                    del states[state]
-            else:
-                state, first, have, used = tuple(total.tolist()), next_sequence, left, 0
-            residual = np.array(state, np.int64)
+                    value = -(weights[0] * length * r + weights[1] * soft[1] * documents + weights[2] * soft[2] * attention)
+                if best is None or value < best:
+                    best, state = value, (r, documents, attention)
+            fresh = state is None
+            first, have, used, held = (next_sequence, left, 0, 0) if fresh else open_.take(state)
+            if fresh:
+                state = full
             # under the norm the sequence just used stays the best for the same length
-            copies = int((residual // need).min()) if capacity.rule == "norm" else 1
-            full = min(have, left // copies)
-            if full:
+            copies = fitting(state, need) if norm else 1
+            whole = min(have, left // copies)
+            if whole:
                 for k in range(copies):
-                    out.append((length, rank + k * full, full, first, used + k * length))
-                put(residual - copies * need, first, full, used + copies * length)
-                rank, left = rank + copies * full, left - copies * full
+                    out.append((length, rank + k * whole, whole, first, used + k * length))
+                open_.put(after(state, need, held, copies), first, whole, used + copies * length, held + copies)
+                rank, left = rank + copies * whole, left - copies * whole
             extra = 0
-            if full < have and 0 < left < copies:
+            if whole < have and 0 < left < copies:
                 for k in range(left):
-                    out.append((length, rank + k, 1, first + full, used + k * length))
-                put(residual - left * need, first + full, 1, used + left * length)
+                    out.append((length, rank + k, 1, first + whole, used + k * length))
+                open_.put(after(state, need, held, left), first + whole, 1, used + left * length, held + left)
                 rank, left, extra = rank + left, 0, 1
-            if len(fits):
-                put(residual, first + full + extra, have - full - extra, used)
+            if fresh:
+                next_sequence += whole + extra
             else:
-                next_sequence += full + extra
-            dirty = True
+                open_.put(state, first + whole + extra, have - whole - extra, used, held)
     return out
 
 

@@ -55,6 +55,9 @@ HOT = 2000
 RUN_BYTES = 32_000_000
 
 
+#: Words of passages that are counted where they stand in several rows, and of the marks that tell of them.
+PASSAGE_WORDS = 51
+PASSAGE_GRAM = 36
 #: Windows looked at together; places within them take the low bits of a packed word.
 SEGMENT = 1 << 20
 PLACE = U64((1 << 24) - 1)
@@ -355,10 +358,58 @@ def _merge(runs: DataFrame, kind: str, length: int) -> DataFrame:
     return runs.mapInArrow(tk.tidy(run), f"_id {kind}, _h long, start long, end long")
 
 
+def passage_marks(offsets: np.ndarray, data: np.ndarray, words: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of word k-grams, the least of each run of `words` words: what two texts share of that length has a mark of both."""
+    w = tk.Words(offsets, data, lower=False)
+    n = len(w.hashes)
+    if n < words:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    up, down = tk.powers(n + 1)
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(w.hashes * up[:n], dtype=U64)])
+    begin = np.arange(n - gram + 1)
+    hashes = tk.mix((total[begin + gram] - total[begin]) * down[begin])
+    text = np.repeat(np.arange(len(offsets) - 1), w.counts)
+    wide = words - gram + 1
+    grams, windows = len(begin), n - words + 1
+    packed = np.full(-(-grams // wide) * wide, np.iinfo(np.uint64).max, U64)
+    packed[:grams] = (hashes & ~PLACE) | begin.astype(U64)
+    ahead = np.minimum.accumulate(packed.reshape(-1, wide), 1).ravel()
+    back = np.minimum.accumulate(packed.reshape(-1, wide)[:, ::-1], 1)[:, ::-1].ravel()
+    place = (np.minimum(back[:windows], ahead[wide - 1 : wide - 1 + windows]) & PLACE).astype(np.int64)
+    at = np.unique(place[text[:windows] == text[words - 1 :]])
+    return text[at], hashes[at]
+
+
+def shared_passages(texts: DataFrame, words: int = PASSAGE_WORDS, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """_id, _h, n_shared of texts that share passages of words with other rows: how many of their marks do.
+
+    Every passage of `words` words that stands in two rows gives a mark of both;
+    a mark alone tells of `gram` shared words. Rows with one id and text are one.
+    """
+    kind = texts.schema["_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for first, end, offsets, data in tk.blocks(b.column(2)):
+                text, key = passage_marks(offsets, data, words, gram)
+                if len(text):
+                    rows, begin = np.unique(text, return_index=True)
+                    ends = pa.array(np.append(begin, len(key)).astype(np.int32))
+                    at = pa.array(first + rows)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.ListArray.from_arrays(ends, pa.array(key.view(np.int64)))], names=["_id", "_h", "keys"])
+
+    marks = cut(texts.select("_id", "_h", "_text").mapInArrow(tk.tidy(run), f"_id {kind}, _h long, keys array<long>"))
+    row = F.xxhash64("_id", "_h")
+    twice = marks.select(row.alias("u"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a <> b").select("key")
+    hits = marks.select("_id", "_h", F.explode("keys").alias("key")).join(small_or_shuffled(cut(twice)), "key")
+    return hits.groupBy("_id", "_h").agg(F.countDistinct("key").alias("n_shared"))
+
+
 def _apply(joined: DataFrame, kind: str, keep_text: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, texts, spans = b.column(0), b.column(1), b.column(2).to_pylist()
+            shared = b.column(3).fill_null(0)
             n_bytes, n_removed, n_spans, digests, rest = [], [], [], [], []
             for text, mine in zip(texts, spans):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
@@ -381,13 +432,13 @@ def _apply(joined: DataFrame, kind: str, keep_text: bool) -> DataFrame:
                 digests.append(hashlib.sha256(out).hexdigest())
                 if keep_text:
                     rest.append(out)
-            arrays = [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            arrays = [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), shared]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_passages"]
             if keep_text:
                 arrays, names = [*arrays, pa.array(rest, pa.binary())], [*names, "kept"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.mapInArrow(tk.tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return joined.mapInArrow(tk.tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_passages long" + ", kept binary" * keep_text)
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -408,7 +459,12 @@ def find_repeats(texts: DataFrame, length: int, gram: int, parts: int) -> DataFr
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, parts: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_passages and, if asked for, the kept bytes of each row.
+
+    Only strings of `length` bytes are removed. n_shared_passages tells of
+    passages of PASSAGE_WORDS words in other rows as well, which can be shorter;
+    they are counted by marks, see shared_passages, and stay.
+    """
     spark = docs.sparkSession
     parts = parts or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
@@ -416,9 +472,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     spans = find_repeats(texts, length, gram, parts)
     spans = cut(spans.groupBy("_id", "_h").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
     hit = small_or_shuffled(spans.select("_id", "_h"))
+    shared = cut(shared_passages(texts))
+    told = small_or_shuffled(shared)
+    texts = texts.join(told, _same(texts, told), "left").select(texts["_id"], texts["_h"], "_text", "n_shared")
     some = texts.join(hit, _same(texts, hit), "left_semi")
-    touched = some.join(spans, _same(some, spans)).select(some["_id"], "_text", "spans")
-    rest = texts.join(hit, _same(texts, hit), "left_anti").select("_id", "_text", F.lit(None).cast(touched.schema["spans"].dataType).alias("spans"))
+    touched = some.join(spans, _same(some, spans)).select(some["_id"], "_text", "spans", "n_shared")
+    rest = texts.join(hit, _same(texts, hit), "left_anti").select("_id", "_text", F.lit(None).cast(touched.schema["spans"].dataType).alias("spans"), "n_shared")
     return _apply(touched, kind, keep_text).unionByName(_apply(rest, kind, keep_text))
 
 

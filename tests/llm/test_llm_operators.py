@@ -63,7 +63,6 @@ def shingles(text, n):
 @pytest.mark.parametrize("small", [2, 24])
 def test_ngram_join(docs, monkeypatch, n, percent, small):
     monkeypatch.setattr(ngram_join, "SMALL_BUCKET", small)
-    monkeypatch.setattr(ngram_join, "SMALL_DIFFERENCE_BUCKET", small)
     got = ngram_join.similar_groups(docs, n, percent).collect()
     named = {i: shingles(t, n) for i, t in ROWS if i is not None}
     parent = {i: i for i in named}
@@ -91,7 +90,6 @@ def test_ngram_join(docs, monkeypatch, n, percent, small):
 @pytest.mark.parametrize("small,block", [(2, 4), (24, 512)])
 def test_ngram_join_counts_every_link(docs, monkeypatch, small, block):
     monkeypatch.setattr(ngram_join, "SMALL_BUCKET", small)
-    monkeypatch.setattr(ngram_join, "SMALL_DIFFERENCE_BUCKET", small)
     monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
     monkeypatch.setattr(ngram_join, "LINK_COLUMNS", 8 * block)
     sets = {i: shingles(t, 5) for i, t in ROWS if i is not None}
@@ -107,18 +105,57 @@ def test_ngram_join_reads_repeated_rows_once(spark):
     sets = ngram_join._sets(df, df.select("doc_id").distinct(), 3)
     a, b = sorted(bytes(r.cls) for r in sets.select("cls").distinct().collect())
     found = ngram_join._verify(spark.createDataFrame([(a, b, True)], "pivot binary, cls binary, expand boolean"), sets, 40).collect()
-    assert len(found) == len({(r.kind, r.token) for r in found}) == 1 + len(shingles(texts[0], 3) ^ shingles(texts[1], 3))
+    assert [(r.linked, len(r.diff) // 8) for r in found] == [(True, len(shingles(texts[0], 3) ^ shingles(texts[1], 3)))]
+
+
+@pytest.mark.parametrize("n,percent", [(1, 60), (2, 50)])
+def test_ngram_join_of_a_dense_group(spark, monkeypatch, n, percent):
+    """Many texts around one, with each other similar here and there only, in blocks of a few."""
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "LABEL_STEPS", 1)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(14)]
+    rows = [(i, " ".join(w if rng.random() > 0.3 else f"x{rng.randrange(6)}" for w in base)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t, n) for i, t in rows}
+    near = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            root[i] = min(root[j] for j in sets if near(sets[i], sets[j]))
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.similar_groups(df, n, percent).collect()}
+    assert got == {i: (root[i], len({sets[j] for j in sets if near(sets[i], sets[j])} - {sets[i]})) for i in sets}
+    assert 1 < len(set(root.values())) < 80
 
 
 def test_ngram_join_of_nothing(nothing):
     assert ngram_join.similar_groups(nothing).count() == 0 == ngram_join.keep_one(nothing).count()
 
 
+def test_shared_passages_are_marked(spark):
+    rng = random.Random(12)
+    word = lambda n: [f"{rng.choice(SYLLABLES)}{rng.randrange(10**6)}" for _ in range(n)]
+    passage = {n: word(n) for n in (20, 51, 60, 300)}
+    rows, want = [], {}
+    for i in range(60):
+        n = [0, 20, 51, 60, 300][i % 5]
+        rows.append((i, " ".join(word(rng.randrange(0, 80)) + (passage[n] if n else []) + word(rng.randrange(0, 80)))))
+        want[i] = n >= 51
+    rows += [(90, rows[2][1]), (91, None), (92, ""), (93, " ".join(word(200) * 2)), (None, " ".join(passage[51]))]
+    want |= {90: True, 91: False, 92: False, 93: False, None: True}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_shared_passages for r in suffix_dedup.remove_repeats(df, keep_text=False).collect()}
+    assert {i: n > 0 for i, n in got.items()} == want
+    text, keys = suffix_dedup.passage_marks(np.array([0, 3, 3]), np.frombuffer(b"a b", np.uint8), 51, 36)
+    assert not len(text) and not len(keys)
+
+
 @pytest.mark.parametrize("length,gram,hot", [(40, 12, 10**9), (40, 12, 2), (25, 8, 3), (400, 128, 2000)])
 def test_suffix_dedup(docs, monkeypatch, length, gram, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 20_000)
-    got = suffix_dedup.remove_repeats(docs, length, gram, parts=3).collect()
+    got = suffix_dedup.remove_repeats(docs, length, gram, parts=3).drop("n_shared_passages").collect()
     raw = [(t or "").encode() for _, t in ROWS]
     count = Counter(x[p : p + length] for x in raw for p in range(len(x) - length + 1))
     want = []
@@ -189,6 +226,18 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_plan_scores_attention_where_it_cannot_bind():
+    """Two sequences with as many tokens left: the one with less attention left gets the next piece in the query's own call; without its weight the documents left decide."""
+    counts = {3000: 1, 1500: 2, 500: 1}
+    place = lambda capacity: {r[0]: r[3] for r in packing.plan(counts, capacity)}
+    both = place(packing.Capacity())
+    assert both[500] == both[3000] != both[1500]
+    few = place(packing.Capacity(documents=4, weights=(1.0, 1.0, 0.0)))
+    assert few[500] == few[1500]
+    assert place(packing.Capacity(documents=2))[500] == both[3000]
+    assert place(packing.Capacity(attention=9_100_000, weights=(1.0, 0.0, 0.0)))[500] != both[3000]
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 @pytest.mark.parametrize("documents,attention", [(None, None), (3, None), (None, 2500), (2, 3000)])
 def test_plan_holds_every_constraint(rule, documents, attention):
@@ -263,21 +312,21 @@ def test_expectation_maximisation_finds_accuracies():
 def test_line_dedup(spark, nothing):
     rng = random.Random(3)
     rows = [(i, "\n".join([f"own words of page {i} that nobody repeats anywhere"] * 1 + ["shared footer"] * (i % 3 > 0) + ["few"] * (i < 2) + ["", "  "] * (i % 2)), f"site{i % 9}") for i in range(30)]
-    rows += [(100, "shared footer\nshared footer", "x"), (101, None, "x"), (102, "", None), (103, "shared footer", None), (None, "shared footer\nlonger text of its own, quite long", "y"), (5, rows[5][1], "site5")]
+    rows += [(100, "shared footer\nshared footer", "x"), (101, None, "x"), (102, "", None), (103, "shared footer", None), (None, "shared footer\nlonger text of its own, quite long", "y"), (None, "shared footer\nx", "y"), (5, rows[5][1], "site5")]
+    rows.append((104, "shared footer\n" + "a long line " * 20_000, "z"))
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    spread = defaultdict(set)
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, line_count int, removed_lines int")
+    sites, texts = defaultdict(set), defaultdict(set)
     for _, t, s in rows:
         for line in (t or "").split("\n"):
             if line.strip(" \t\r") and s is not None:
-                spread[line.strip(" \t\r")].add(s)
+                sites[line.strip(" \t\r")].add(s)
+                texts[line.strip(" \t\r")].add(t)
     want = []
     for i, t, s in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not x.strip(" \t\r") or len(spread[x.strip(" \t\r")]) < 5]
-        size = lambda x: len("".join(x))
-        if size(lines) - size(kept) > 0.5 * size(lines):
-            kept = lines
+        body = [x.strip(" \t\r") for x in lines]
+        kept = [x for x, b in zip(lines, body) if not b or len(sites[b]) < 5 or len(texts[b]) < 5]
         want.append((i, "\n".join(kept) if t is not None else None, s, len(lines) - len(kept)))
     got = line_dedup.remove_boilerplate(df, min_sites=5).select("doc_id", "text", "source", "removed_lines").collect()
     key = lambda r: tuple(map(str, r))
@@ -292,13 +341,37 @@ def test_line_dedup_of_short_pages_and_copies(spark):
     rows += [(20 + i, "a text of two lines\nthat was copied whole", f"site{i}") for i in range(6)]
     rows += [(40, "shared header\nshared footer", "site1"), (41, "shared footer\nx", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: (r.text, r.removed_lines) for r in corpus_pipeline.line_dedup.remove_boilerplate(df, min_sites=5, max_share=None).collect()}
+    got = {r.doc_id: (r.text, r.removed_lines) for r in corpus_pipeline.line_dedup.remove_boilerplate(df, min_sites=5).collect()}
     want = {i: (f"own {i}", 2) for i in range(6)} | {20 + i: (rows[6][1], 0) for i in range(6)}
     assert got == want | {40: ("", 2), 41: ("x", 1)}
     many = spark.createDataFrame([(i, f"shared header\nown {i}", f"site{i}") for i in range(12)], "doc_id long, text string, source string")
     assert {r.text for r in corpus_pipeline.drop_boilerplate(spark, many, "").collect()} == {f"own {i}" for i in range(12)}
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Without labels, with nulls, empty texts, repeated rows and null ids: what no stage has a reason to drop is packed."""
+    rng = random.Random(8)
+    texts = [prose(rng, 40) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(20, None), (21, ""), (22, "..."), (3, texts[3]), (3, texts[3]), (30, texts[5]), (None, texts[6] + " more"), (None, None)]
+    bench = spark.createDataFrame([(1, texts[2])], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(i, t, None, f"s{k}", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
+    for docs in (df, df.withColumn("lang", corpus_pipeline.langid.F.lit("xx")), df.limit(0)):
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        columns = step.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            step = stage(spark, step, str(tmp_path))
+            if k + 1 < len(corpus_pipeline.STAGES):
+                assert step.columns == columns
+        got = sorted((r.doc_id if r.doc_id is not None else -1) for r in step.collect())
+        labelled = docs.filter("lang IS NOT NULL").limit(1).count()
+        # one of equal rows stays, one of equal texts, one of groups without an id each; the copy of the item goes
+        left = [i for i in range(12) if i != 2] + ([-1] if labelled else [-1, -1, 20, 21, 22])
+        assert got == (sorted(left) if docs.count() else [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 BENCH = [
     (1, "A train leaves Boston at 40 km per hour and meets Alice after 3 hours near the old stone bridge by the river"),
     (2, "Compute the sum of all odd numbers below the given bound and explain each step of your reasoning in full"),
@@ -475,24 +548,74 @@ def test_kneser_ney_probabilities_sum_to_one(spark):
     assert 0.9 < total < 1.0 + 1e-6 and total + unseen > 0.99
 
 
+def small_network(rows=40):
+    net = toxicity.Network.fresh(np.zeros(rows, np.float32), np.ones(rows, bool))
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    return net
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
-    feats = rng.integers(0, 50, (60, 4)).astype(np.int32)
-    net = toxicity.Network.fresh(np.zeros(sum(1 << b for b in toxicity.TABLE_BITS), np.float32))
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    word, net = rng.integers(0, 20, 60), small_network()
+    inputs = rng.standard_normal((20, toxicity.WIDTH))
     start, size, weight = np.array([0, 10, 30]), np.array([5, 9, 2]), np.array([1.0, -0.5, 2.0])
-    _, kept = net.forward(feats, start, size, keep=True)
+    _, kept = net.forward(inputs, word, start, size, keep=True)
     g = net.backward(kept, weight)
-    for name, x in net.p.items():
-        for _ in range(3):
-            at = (int(feats[rng.integers(0, 5), 0]), int(rng.integers(0, x.shape[1]))) if name == "emb" else tuple(int(rng.integers(0, s)) for s in x.shape)
+    which, d_x = g.pop("x")
+    g["x"] = np.zeros_like(inputs)
+    np.add.at(g["x"], which, d_x)
+    params = {**{k: v for k, v in net.p.items() if k != "emb"}, "x": inputs}
+    for name, x in params.items():
+        for _ in range(4):
+            at = tuple(int(rng.integers(0, s)) for s in x.shape)
             old = x[at]
-            x[at] = old + 1e-4
-            up = net.forward(feats, start, size) @ weight
-            x[at] = old - 1e-4
-            down = net.forward(feats, start, size) @ weight
+            x[at] = old + 1e-3
+            up = net.forward(inputs, word, start, size) @ weight
+            x[at] = old - 1e-3
+            down = net.forward(inputs, word, start, size) @ weight
             x[at] = old
-            assert (up - down) / 2e-4 == pytest.approx(g[name][at], abs=2e-5), name
+            assert (up - down) / 2e-3 == pytest.approx(g[name][at], abs=1e-4), name
+
+
+def test_toxicity_forward_word_by_word():
+    """Each window by itself, a word at a time, from the equations of the network."""
+    rng = np.random.default_rng(1)
+    word, net = rng.integers(0, 20, 60), small_network()
+    inputs, H = rng.standard_normal((20, toxicity.WIDTH)), toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    p, start, size = net.p, np.array([0, 7, 50]), np.array([6, 12, 1])
+    for k, got in enumerate(net.forward(inputs, word, start, size)):
+        xs, states = inputs[word[start[k] : start[k] + size[k]]], []
+        for way in (0, 1):
+            h, run = np.zeros(H), []
+            for x in xs[::-1] if way else xs:
+                gate, a = x @ p["wx"][way] + p["b"][way, 0], h @ p["u"][way]
+                z, r = sig(gate[:H] + a[:H]), sig(gate[H : 2 * H] + a[H : 2 * H])
+                h = z * h + (1 - z) * np.tanh(gate[2 * H :] + r * a[2 * H :])
+                run.append(h)
+            states.append(run[::-1] if way else run)
+        both = np.concatenate(states, 1)
+        score = np.tanh(both @ p["wa"] + p["ba"]) @ p["va"]
+        share = np.exp(score) / np.exp(score).sum()
+        assert got == pytest.approx(share @ both @ p["wo"] + p["bo"][0], rel=1e-5, abs=1e-6)
+
+
+def test_toxicity_features_are_words_and_their_parts():
+    raw = "Ab, abc ab! \u00fcber".encode()
+    offsets, data = np.array([0, len(raw), len(raw)]), np.frombuffer(raw, np.uint8)
+    b = toxicity.features(offsets, data)
+    assert b.first.tolist() == [0, 4, 4] and b.word[0] == b.word[2] and len(set(b.word.tolist())) == 3
+    sizes = sorted(np.diff(b.begin).tolist())
+    grams = lambda n: 1 + sum(max(0, n + 2 - g + 1) for g in toxicity.GRAMS)
+    assert sizes == sorted([grams(2), grams(3), grams(5)])
+    emb = np.random.default_rng(2).standard_normal((toxicity.ROWS, 3)).astype(np.float32)
+    for w in range(3):
+        rows = b.rows[b.begin[w] : b.begin[w + 1]]
+        assert b.sums(emb)[w] == pytest.approx(emb[rows[0]] + emb[rows[1:]].sum(0) / np.sqrt(max(len(rows) - 1, 1)), abs=1e-5)
+    assert toxicity.spread_words(offsets, data, 100) == [raw, b""]
+    long = ("w " * 1000).encode()
+    (part,) = toxicity.spread_words(np.array([0, len(long)]), np.frombuffer(long, np.uint8), 96)
+    assert len(part.split()) == 96
 
 
 def test_toxicity_windows_cover_every_word():
