@@ -1,15 +1,19 @@
 """Merkle fixity audit of web archives.
 
 Records are laid out in segments (an archive file each) with byte offsets.
-A leaf is the SHA-256 of a record's bytes. Sixteen neighbouring records, with
-their offsets and lengths, hash into a range node, sixteen ranges into a block,
+A leaf is the SHA-256 of a record's bytes. Records of neighbouring ids form an
+offset range, of about sixteen records; with their lengths and their offsets
+from the range's start they hash into its node, sixteen ranges into a block,
 blocks into a segment, and segments, sixteen at a time, up to the root. An
 audit compares roots and then descends level by level into the branches that
 differ, so an intact replica costs one comparison and a damaged one costs its
-damaged branches only.
+damaged branches only. A range is set by ids, so a lost or added record changes
+its own range and none behind it.
 
 Segments hold `segment_ids` consecutive ids, further split by the hash of the
-address, so that an id which repeats without end still spreads over segments.
+address, so that an id which repeats without end still spreads over segments;
+records without an id are spread by their address alone. The node of a range of
+very many records is made from nodes of PART records each.
 
 Defined results: nulls in any column are hashed as their own marker; repeated
 records are told apart by an occurrence number; an empty archive has the root
@@ -25,6 +29,10 @@ from pyspark.sql import functions as F
 from millrace.session import cut
 
 FANOUT = 16
+#: Records of a range that are hashed together.
+PART = 4096
+#: Segments for records without an id.
+ANONYMOUS = 1024
 
 
 def record_bytes(id_col: Column, uri: Column, body: Column) -> Column:
@@ -47,9 +55,11 @@ def record_bytes(id_col: Column, uri: Column, body: Column) -> Column:
 def lay_out(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", body_col: str = "html", segment_ids: int = 4096, splits: int = 8) -> DataFrame:
     """Leaves: segment, ordinal, offset, length, digest, and what names the record."""
     raw = record_bytes(F.col(id_col), F.col(uri_col), F.col(body_col))
-    bucket = F.coalesce(F.floor(F.col(id_col) / segment_ids), F.lit(-1)).cast("long")
+    place = F.xxhash64(F.col(uri_col))
+    bucket = F.coalesce(F.floor(F.col(id_col) / segment_ids), -1 - F.pmod(place, F.lit(ANONYMOUS))).cast("long")
     leaves = pages.select(
-        (bucket * splits + F.pmod(F.xxhash64(F.col(uri_col)), F.lit(splits))).alias("segment"),
+        (bucket * splits + F.pmod(place, F.lit(splits))).alias("segment"),
+        F.coalesce(F.floor(F.col(id_col) / (FANOUT * splits)), F.lit(0)).cast("long").alias("range"),
         F.col(id_col).cast("long").alias("record_id"),
         F.col(uri_col).alias("uri"),
         F.octet_length(raw).cast("long").alias("length"),
@@ -57,9 +67,11 @@ def lay_out(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", bod
     )
     order = Window.partitionBy("segment").orderBy("record_id", "uri", "digest")
     same = Window.partitionBy("segment", "record_id", "uri").orderBy("digest")
+    within = Window.partitionBy("segment", "range").orderBy("record_id", "uri", "digest")
     return leaves.select(
         "*",
-        (F.row_number().over(order) - 1).cast("long").alias("ordinal"),
+        (F.row_number().over(within) - 1).cast("long").alias("ordinal"),
+        (F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("from_range"),
         (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"),
         F.row_number().over(same).cast("long").alias("occurrence"),
     )
@@ -72,10 +84,11 @@ def _parents(nodes: DataFrame, keys: list[str], by: Column, digest: Column) -> D
 
 
 def build_tree(leaves: DataFrame, height: int) -> list[DataFrame]:
-    """Levels from ranges of FANOUT records up to the root, each (segment, node, digest)."""
-    stamped = F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), F.col("digest"))
+    """Levels from ranges up to the root, each (segment, node, digest)."""
+    stamped = F.concat_ws(":", F.col("from_range").cast("string"), F.col("length").cast("string"), F.col("digest"))
     level = leaves.withColumn("node", F.col("ordinal"))
-    level = _parents(level, ["segment"], F.floor(F.col("node") / FANOUT).cast("long"), stamped)
+    level = _parents(level, ["segment", "range"], F.floor(F.col("node") / PART).cast("long"), stamped)
+    level = _parents(level, ["segment"], F.col("range"), F.col("digest"))
     levels = [level]
     level = _parents(level, ["segment"], F.floor(F.col("node") / FANOUT).cast("long"), F.col("digest"))
     levels.append(level)
@@ -118,7 +131,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         a, b = (x.select("*", *key).join(held, on, "left_semi").select("segment", "node", "digest") for x in (a, b))
         bad = cut(_differ(a, b))
     ranges = bad.withColumnRenamed("node", "range")
-    within = lambda x: x.withColumn("range", F.floor(F.col("ordinal") / FANOUT).cast("long")).join(ranges, ["segment", "range"], "left_semi")
+    within = lambda x: x.join(ranges, ["segment", "range"], "left_semi")
     p, r = within(primary).alias("p"), within(replica).alias("r")
     same = (F.col("p.segment") == F.col("r.segment")) & F.col("p.record_id").eqNullSafe(F.col("r.record_id")) & F.col("p.uri").eqNullSafe(F.col("r.uri")) & (F.col("p.occurrence") == F.col("r.occurrence"))
     status = F.when(F.col("r.digest").isNull(), "missing").when(F.col("p.digest").isNull(), "extra").otherwise("damaged")

@@ -12,6 +12,9 @@ runs of words instead, over lines and paragraphs. A best run starts and ends on
 a bigram of the template, so only runs between two of those are scored; of runs
 that overlap, the one with the greatest coefficient counts for a template.
 
+Templates come from notices and titles by rule (library) or from a table of
+licence texts (read_templates).
+
 Defined results: null or empty text has no matches; a one-word segment has no
 bigram and matches nothing; ties go to the template listed first, then to the
 earlier segment; repeated rows give equal results; extra columns pass through.
@@ -61,9 +64,49 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+)
+
+#: Identifiers and titles of public licences.
+TITLES: tuple[tuple[str, str], ...] = (
+    ("AGPL-3.0", "GNU Affero General Public License Version 3"),
+    ("Apache-2.0", "Apache License Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSL-1.0", "Boost Software License Version 1.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License Version 2.0"),
+    ("GPL-2.0", "GNU General Public License Version 2"),
+    ("GPL-3.0", "GNU General Public License Version 3"),
+    ("ISC", "ISC License"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3"),
+    ("MIT", "MIT License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "The Unlicense"),
 )
 
 
+def library(titles=TITLES, notices=TEMPLATES) -> tuple[tuple[str, str], ...]:
+    """Templates by rule: the notices, then each title by itself, as an identifier line, and as what a work is under."""
+    forms = ("{title}", "SPDX-License-Identifier: {name}", "licensed under the {title}")
+    return notices + tuple((name, form.format(name=name, title=title)) for name, title in titles for form in forms)
+
+
+def read_templates(table: DataFrame, most: int = 10_000) -> tuple[tuple[str, str], ...]:
+    """Templates from a table (license, text), whole licence texts among them; more than `most` rows are an error, as every task holds them."""
+    rows = table.select("license", "text").filter("license IS NOT NULL AND text IS NOT NULL").orderBy("license", "text").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} licence templates")
+    return tuple((r[0], r[1]) for r in rows)
+
+
 class Templates:
     """Bigram multisets of the templates, merged into one sorted array."""
 
@@ -198,7 +241,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     m = F.col("license_matches")
     best = F.get(F.array_sort(F.transform(m, lambda x: F.struct((-x["dice"]).alias("d"), x["template"].alias("t"), x["start"].alias("s"), x["license"].alias("l")))), F.lit(0))
-    return scan(docs, anywhere=True).select(
+    return scan(docs, library(), anywhere=True).select(
         "doc_id",
         F.size(m).cast("long").alias("n_matches"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["license"]))), ",").alias("licenses"),

@@ -290,6 +290,33 @@ def test_quality_counts(docs, nothing):
     assert quality.score(nothing).count() == 0
 
 
+def test_quality_posterior_document_by_document(spark):
+    """Expectation-maximisation over single documents, from the votes that the operator gives."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "of", "and", "house,", "tree.", "runs", "##", "x" * 17]) if i % 3 else "spam" for _ in range(rng.randrange(1, 160)))) for i in range(150)] + [(900, None), (901, "")]
+    got = quality.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = [f"vote_{r.name}" for r in quality.rules()]
+    votes = np.array([[np.nan if r[n] is None else r[n] for n in names] for r in got], float)
+    voted = ~np.isnan(votes)
+    yes = np.nan_to_num(votes)
+    prior, good, bad = 0.8, np.full(len(names), 0.95), np.full(len(names), 0.7)
+
+    def posterior():
+        odds = np.log(prior / (1 - prior)) + (voted * (yes * np.log(good / bad) + (1 - yes) * np.log((1 - good) / (1 - bad)))).sum(1)
+        return 1 / (1 + np.exp(-odds))
+
+    for _ in range(50):
+        p = posterior()
+        prior = min(0.99, max(0.05, (p.sum() + 8) / (len(p) + 10)))
+        good = np.clip(((voted * yes * p[:, None]).sum(0) + 9.5) / ((voted * p[:, None]).sum(0) + 10), 0.5, 0.995)
+        bad = np.minimum(good - 0.01, np.maximum(0.02, ((voted * yes * (1 - p)[:, None]).sum(0) + 7) / ((voted * (1 - p)[:, None]).sum(0) + 10)))
+    for r, p in zip(got, posterior()):
+        assert r.posterior == pytest.approx(p, abs=1e-6)
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert (r.base_failed, r.kept) == (failed, not failed and p >= 0.5)
+    assert len({r.kept for r in got}) == 2
+
+
 def test_quality_repeats(spark):
     texts = ["a b c a b c", "x x x x", "a b c d\na b c d\nq", "# $ | w*", "p q r s p q r t u p q"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -470,6 +497,25 @@ def test_license_scan_matches_brute_force(spark, docs):
     assert licenses.scan(docs).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("text,name", [("MIT License", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("Mozilla Public License Version 2.0", "MPL-2.0"), ("GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007", "AGPL-3.0"), ("This code is licensed under the BSD 3-Clause License and so on", "BSD-3-Clause")])
+def test_license_titles(spark, text, name):
+    df = spark.createDataFrame([(1, f"some words before\n{text}\nand behind")], "doc_id long, text string")
+    found = licenses.scan(df, licenses.library(), anywhere=True).first().license_matches
+    assert name in {m.license for m in found}
+
+
+def test_license_texts_from_a_table(spark, nothing):
+    whole = "Own Licence.\n\nYou may do this.\n\n" + " ".join(f"clause {i} says {i * i}" for i in range(200))
+    table = spark.createDataFrame([("Own", whole), (None, "x"), ("Y", None)], "license string, text string")
+    own = licenses.read_templates(table)
+    df = spark.createDataFrame([(1, "intro\n" + whole.replace("clause 7 ", "term 7 ") + "\nend"), (2, whole[:200])], "doc_id long, text string")
+    got = {r.doc_id: [m.license for m in r.license_matches] for r in licenses.scan(df, own, anywhere=True).collect()}
+    assert got == {1: ["Own"], 2: []}
+    assert licenses.scan(nothing, licenses.library(), anywhere=True).count() == 0
+    with pytest.raises(ValueError):
+        licenses.read_templates(table.unionByName(table), most=1)
+
+
 def test_licenses_inside_and_across_lines(spark, tmp_path):
     apache = licenses.TEMPLATES[1][1]
     texts = {
@@ -500,6 +546,13 @@ def test_fixity(spark):
     leaf = next(r for r in fixity.lay_out(a, **kw).collect() if r.record_id == 17)
     raw = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:17>\r\nWARC-Target-URI: http://a/3\r\nContent-Length: 18\r\n\r\n<p>17</p><p>17</p>\r\n\r\n"
     assert (leaf.length, leaf.digest) == (len(raw), hashlib.sha256(raw.encode()).hexdigest())
+    # the lost and the added record change their own ranges and none behind them
+    levels = [{(r.segment, r.node): r.digest for r in fixity.build_tree(fixity.lay_out(x, **kw), 1)[0].collect()} for x in (a, spark.createDataFrame(changed, schema))]
+    assert len(levels[0]) > 15 and sum(levels[0].get(k) != levels[1].get(k) for k in {*levels[0], *levels[1]}) == 3
+    clash = a.withColumn("digest", fixity.F.lit("x")).withColumn("segment", fixity.F.lit(1)).withColumn("range", fixity.F.lit(2))
+    assert fixity.audit(fixity.lay_out(clash, **kw), fixity.lay_out(a, **kw)).count() == 0
+    many = spark.createDataFrame([(None, f"u{i}", "x" * 200_000 * (i == 3)) for i in range(50)], schema)
+    assert len({r.segment for r in fixity.lay_out(many).collect()}) > 20
     none = spark.createDataFrame([], schema)
     assert fixity.audit(fixity.lay_out(none), fixity.lay_out(none)).count() == 0
     assert fixity.audit(fixity.lay_out(none), fixity.lay_out(a)).count() == len(pages)
@@ -526,6 +579,49 @@ def test_language_id_on_held_out_texts(spark, docs, nothing):
     assert {r.lang_pred for r in langid.identify(docs, unknown).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_by_dictionaries(spark, order):
+    """Interpolated Kneser-Ney from plain counts of strings, against cross-entropies of the sorted arrays."""
+    texts = {"x": ["abracadabra abba", "cab bad dab", "a"], "y": ["über öde bäder", "bad dab öd"]}
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)], "doc_id long, text string, lang string")
+    model = langid.learn(df, langid.F.lit(True), order=order)
+    scorer = langid.Scorer(model)
+    D = langid.DISCOUNT
+    alphabet = len({c for ts in texts.values() for t in ts for c in t}) + langid.UNSEEN_SYMBOLS
+
+    def weights(lang):
+        raw = [Counter() for _ in range(order + 1)]
+        for t in texts[lang]:
+            s = " " + t  # a boundary first
+            for n in range(1, order + 1):
+                raw[n].update(s[i - n + 1 : i + 1] for i in range(max(n - 1, 1), len(s)))
+        out = [Counter() for _ in range(order + 1)]
+        out[order] = raw[order]
+        for n in range(1, order):
+            before = Counter(g[1:] for g in raw[n + 1])
+            out[n] = Counter({g: max(1, before[g]) for g in raw[n]})
+        return out
+
+    def probability(w, gram):
+        n = len(gram)
+        if n == 1:
+            total, kinds = sum(w[1].values()), len(w[1])
+            return max(w[1][gram] - D, 0) / total + D * kinds / total / alphabet
+        with_context = {g: c for g, c in w[n].items() if g[:-1] == gram[:-1]}
+        total = sum(with_context.values())
+        lower = probability(w, gram[1:])
+        return max(w[n][gram] - D, 0) / total + D * len(with_context) / total * lower if total else lower
+
+    for text in ("abba", "bad über", "zebra dab", "ö", "cab dab bad abracadabra"):
+        s, data = " " + text, np.frombuffer(text.encode(), np.uint8)
+        h, letters = scorer.entropy(np.array([0, len(data)]), data)
+        assert letters[0] == sum(c != " " for c in text)
+        for k, lang in enumerate(model.langs):
+            w = weights(lang)
+            want = -sum(np.log(probability(w, s[max(0, i - order + 1) : i + 1])) for i in range(1, len(s))) / len(text)
+            assert h[0, k] == pytest.approx(want, rel=1e-4), (text, lang)
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(1, "abracadabra abba", "x"), (2, "cab bad dab", "x")], "doc_id long, text string, lang string")
     m = langid.learn(df, langid.F.lit(True), order=3)
