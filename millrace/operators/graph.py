@@ -364,6 +364,14 @@ def _advanced(status, frontier, done, fresh, met, hi, last, limits):
     return cut(status), fresh, kept
 
 
+def path_edges(results: DataFrame, edges: DataFrame) -> DataFrame:
+    """query_id, node, depth, steps: the edges of each path in order, with what they came from: relationship, src, dst, occurrence, inverse."""
+    places = results.select("query_id", "node", "depth", F.posexplode_outer("path").alias("_i", "edge_index"))
+    named = places.join(edges.select("edge_index", F.struct("relationship", "src", "dst", "occurrence", "inverse").alias("_e")), "edge_index", "left")
+    listed = named.groupBy("query_id", "node", "depth").agg(F.array_sort(F.collect_list(F.when(F.col("_e").isNotNull(), F.struct("_i", "_e")))).alias("_l"))
+    return listed.select("query_id", "node", "depth", F.transform("_l", lambda x: x["_e"]).alias("steps"))
+
+
 def trace(report: DataFrame) -> DataFrame:
     """Seeds, results and greatest depth of every query, from a walk's report."""
     return report.select("query_id", "seed_count", "result_count", "max_depth")

@@ -288,6 +288,12 @@ class WordPiece:
             out += found
         return out[: self.most - 2]
 
+    def encode(self, text: str, start: str = "[CLS]", end: str = "[SEP]", pad: str | None = "[PAD]") -> tuple[list[int], list[int]]:
+        """Numbers of the pieces between start and end marks, cut at `most`, and the mask of those that count; padded to `most` unless pad is None."""
+        ids = [self.index[start], *(self.index[p] for p in self.pieces(text)), self.index[end]]
+        rest = self.most - len(ids) if pad is not None else 0
+        return ids + [self.index[pad]] * rest if rest else ids, [1] * len(ids) + [0] * rest
+
     def count(self, text: str) -> int:
         return len(self.pieces(text)) + 2
 
@@ -301,6 +307,25 @@ def lookup_embeddings(texts: DataFrame, known: DataFrame) -> DataFrame:
     return j
 
 
+def pooled(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Mean of the hidden states (texts, places, width) over the places that count, as unit vectors; texts without any give zeros."""
+    weight = mask[..., None].astype(np.float32)
+    mean = (hidden * weight).sum(1) / np.maximum(weight.sum(1), 1e-9)
+    size = np.linalg.norm(mean, axis=1, keepdims=True)
+    return mean / np.where(size > 0, size, 1.0)
+
+
+def encoder(pieces: WordPiece, run):
+    """A provider for embed: texts to unit vectors, where run maps (ids, mask) to hidden states, as a session of a sentence encoder does."""
+
+    def provide(texts: list[str]) -> list[list[float]]:
+        rows = [pieces.encode(t) for t in texts]
+        ids, mask = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        return pooled(run(ids, mask), mask).tolist() if rows else []
+
+    return provide
+
+
 def embed(docs: DataFrame, provider, text_col: str = "text") -> DataFrame:
     """docs with an embedding column; provider maps a list of texts to a list of vectors, a batch at a time."""
 

@@ -136,6 +136,13 @@ def encoded(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "emb
     return rows.mapInArrow(run, f"chunk_id long, values array<{kind}>, scale double")
 
 
+def fidelity(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """chunk_id, cosine of each vector with its quantised form; a zero vector has 1."""
+    z = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vector_col).alias("_v"), F.transform(quantise(F.col(vector_col))["q"], lambda x: x.cast("double")).alias("_q"))
+    size = F.sqrt(dot(F.col("_v"), F.col("_v")) * dot(F.col("_q"), F.col("_q")))
+    return z.select("chunk_id", F.when(size > 0, dot(F.col("_v"), F.col("_q")) / size).otherwise(F.lit(1.0)).alias("cosine"))
+
+
 def check_width(rows: DataFrame, vector_col: str, queries: DataFrame, query_vector: str) -> None:
     """An error on the driver if queries and stored vectors differ in length; of the stored ones the first is looked at, the others as they are read."""
     got = queries.agg(F.min(F.size(query_vector)), F.max(F.size(query_vector))).first()

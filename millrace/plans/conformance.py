@@ -251,6 +251,20 @@ UNION ALL SELECT 'bytes', query_id, 1 + n + least(c, fit), n + least(c, fit + 1)
 """
 
 
+def path_steps(spark, d):
+    """The edges of the ways from regions to customers, with what they came from."""
+    edges = cut(gq.edges_of(spark, d))
+    steps = graph.path_edges(graph.traverse(edges, gq.region_seeds(spark, d), gq.TWO_HOPS, gq.WIDE), edges)
+    first, last = F.col("steps")[0], F.col("steps")[1]
+    return steps.select("query_id", "node", first["relationship"].alias("first"), first["dst"].alias("nation"), last["relationship"].alias("last"), last["inverse"].alias("inverse"), last["occurrence"].alias("occurrence"))
+
+
+STEPS_SQL = """
+SELECT r_name AS query_id, 'Customer:customer-' || c_custkey AS node, 'has_nation' AS first, 'Nation:nation-' || n_nationkey AS nation, 'has_customer' AS last, true AS inverse, 0::BIGINT AS occurrence
+FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
+"""
+
+
 def narrowed(spark, d):
     """How far regions narrow the documents, before and after a filter, and whether their walks were cut."""
     results, report = graph.walk(gq.edges_of(spark, d), gq.region_seeds(spark, d), gq.TWO_HOPS, TraversalLimits(max_results=200))
@@ -516,6 +530,19 @@ SELECT slice, count(*) AS queries, round(avg(a), 6) AS base, round(avg(b), 6) AS
 """
 
 
+def quantised_cosine(spark, d):
+    """How near quantised vectors are to their own: least and median cosine by label."""
+    v = sq.vectors_of(spark, d)
+    c = vectors.fidelity(v).join(v.select("chunk_id", "label"), "chunk_id")
+    return c.groupBy("label").agg(F.round(F.min("cosine"), 6).alias("least"), F.round(F.expr("percentile(cosine, 0.5)"), 6).alias("median"))
+
+
+FIDELITY_SQL = f"""
+WITH {sq.I8_CTE}, c AS (SELECT label, list_inner_product(v, qv) / sqrt(list_inner_product(v, v) * list_inner_product(qv, qv)) AS cosine FROM z JOIN (SELECT vec_id AS i, v FROM e) ON i = vec_id)
+SELECT label, round(min(cosine), 6) AS least, round(median(cosine), 6) AS median FROM c GROUP BY label
+"""
+
+
 def first_hits(spark, d):
     """Reciprocal ranks without a cutoff, over all that was searched."""
     return metrics.per_query(sq.run_of(spark, d), sq.qrels_of(spark, d), 100).select("query_id", F.round("mrr", 6).alias("mrr"))
@@ -615,6 +642,7 @@ def queries() -> dict:
         "graph_seeds_by_property": property_seeds,
         "graph_truncation": truncated_walks,
         "graph_candidates": narrowed,
+        "graph_path_edges": path_steps,
         "graph_layout": graph_layout,
         "graph_nested_references": nested_references,
         "graph_scoped_hybrid": scoped_hybrid,
@@ -629,6 +657,7 @@ def queries() -> dict:
         "metric_index_percentile": index_percentiles,
         "metric_paired_slices": slices,
         "metric_mrr_uncapped": first_hits,
+        "metric_quantised_cosine": quantised_cosine,
         "source_run_files": run_file,
         "source_linked_workload": workload,
         "source_collection_rules": closed_collection,
@@ -651,6 +680,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_seeds_by_property": PROPERTY_SQL,
         "graph_truncation": TRUNCATED_SQL,
         "graph_candidates": NARROWED_SQL,
+        "graph_path_edges": STEPS_SQL,
         "graph_layout": LAYOUT_SQL,
         "graph_nested_references": NESTED_SQL,
         "graph_scoped_hybrid": SCOPED_HYBRID_SQL,
@@ -671,6 +701,7 @@ def oracle_sql() -> dict[str, str]:
         "metric_index_percentile": PERCENTILE_SQL,
         "metric_paired_slices": SLICES_SQL,
         "metric_mrr_uncapped": MRR_SQL,
+        "metric_quantised_cosine": FIDELITY_SQL,
         "source_run_files": RUN_SQL,
         "source_linked_workload": WORKLOAD_SQL,
         "source_collection_rules": COLLECTION_SQL,

@@ -1,13 +1,15 @@
+import hashlib
 import json
 import os
 
+import numpy as np
 import pytest
 
 from millrace.model import CorruptStore, DimensionMismatch, MillraceError
 from millrace.operators import metrics, text, vectors
 from millrace.operators.corpus import Corpus
 from millrace.plans import evaluation
-from millrace.sources import formats, store
+from millrace.sources import formats, models, store
 from millrace.streaming import changes
 
 
@@ -196,6 +198,36 @@ def test_closed_collections(spark, tmp_path):
             formats.read_closed_collection(spark, write(name, **change))
 
 
+def test_word_pieces_as_rows_and_pooled_vectors():
+    pieces = text.WordPiece(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "red", "fox", "##es"], most=6)
+    assert pieces.encode("Red foxes") == ([2, 4, 5, 6, 3, 0], [1, 1, 1, 1, 1, 0])
+    assert pieces.encode("red red red red red red", pad=None) == ([2, 4, 4, 4, 4, 3], [1] * 6)
+    table = np.random.default_rng(0).standard_normal((7, 4))
+    provide = text.encoder(pieces, lambda ids, mask: table[ids])
+    (v,) = provide(["red fox"])
+    mean = table[[2, 4, 5, 3]].mean(0)
+    assert v == pytest.approx(mean / np.linalg.norm(mean)) and provide([]) == []
+    assert not text.pooled(np.ones((1, 3, 2)), np.zeros((1, 3))).any()
+
+
+def test_model_files(tmp_path):
+    body = b"weights"
+    digest = hashlib.sha256(body).hexdigest()
+    folder = str(tmp_path / "m")
+    with pytest.raises(MillraceError):
+        models.resolve(folder, {"a.bin": digest})
+    with pytest.raises(CorruptStore):
+        models.resolve(folder, {"a.bin": digest}, fetch=lambda n: b"other")
+    path = models.resolve(folder, {"a.bin": digest}, fetch=lambda n: body)["a.bin"]
+    assert open(path, "rb").read() == body and models.resolve(folder, {"a.bin": digest}) == {"a.bin": path}
+    with open(path, "wb") as f:
+        f.write(b"changed")
+    with pytest.raises(CorruptStore):
+        models.resolve(folder, {"a.bin": digest})
+    with pytest.raises(MillraceError):
+        models.resolve(folder, {"../a.bin": digest}, fetch=lambda n: body)
+
+
 def test_small_measures(spark):
     found = spark.createDataFrame([(1, [1, 2]), (2, [3])], "query_id long, path array<long>")
     want = spark.createDataFrame([(1, [9]), (1, [1, 2]), (2, [4]), (3, [1])], "query_id long, path array<long>")
