@@ -28,6 +28,8 @@ LG_K = 12
 #: Standard error of a sketch with 2**LG_K registers.
 SIGMA = 1.04 / 2 ** (LG_K / 2)
 BLANKS = " \t\r"
+#: Texts with wide-spread lines whose sets of keys are broadcast, some hundred bytes each.
+SPREAD_TEXTS = 200_000
 
 
 def _stripped(line: Column) -> Column:
@@ -91,6 +93,8 @@ def remove_boilerplate(
     keys = small_or_shuffled(cut(boilerplate_keys(texts, min_sites)))
     # by text, so that null ids do not meet and equal texts are listed once
     per_text = lines.select("__text", "__key").join(keys, "__key").groupBy("__text").agg(F.collect_set("__key").alias("__spread"))
+    # few texts go to the documents by broadcast, so that these are not shuffled; beyond that copies of one text are a skewed join
+    per_text = small_or_shuffled(cut(per_text), SPREAD_TEXTS)
     split = F.split(F.col(text_col), "\n", -1)
     out = docs.withColumn("__hash", F.xxhash64(text_col)).join(per_text, F.col("__hash") == F.col("__text"), "left").drop("__text", "__hash")
     out = out.withColumn("__kept", F.when(F.col("__spread").isNull(), split).otherwise(
