@@ -56,6 +56,8 @@ THRESHOLD = 0.7
 #: Bits of the hash tables: words and character n-grams.
 WORD_BITS, GRAM_BITS = 15, 16
 ROWS = (1 << WORD_BITS) + (1 << GRAM_BITS)
+#: Words whose inputs are summed together.
+SUM_WORDS = 8192
 #: Bytes of an n-gram, boundary marks included.
 GRAMS = (3, 4, 5, 6, 7)
 U64 = np.uint64
@@ -69,16 +71,20 @@ class Block:
     first: np.ndarray  # first word of each text
     rows: np.ndarray  # rows of distinct words: itself, then its n-grams
     begin: np.ndarray  # first row of each distinct word
+    hashes: np.ndarray  # of distinct words
 
     def sums(self, emb: np.ndarray, chosen: np.ndarray | None = None) -> np.ndarray:
         """Input of each distinct word: word embedding, and n-gram embeddings over the root of their number."""
         rows, begin = (self.rows, self.begin) if chosen is None else _pick(self.rows, self.begin, chosen)
         n = np.diff(begin)
-        if not len(n):
-            return np.zeros((0, emb.shape[1]), np.float32)
-        total = np.add.reduceat(emb[rows], begin[:-1])
-        own = emb[rows[begin[:-1]]]
-        return own + (total - own) / np.sqrt(np.maximum(n - 1, 1))[:, None].astype(np.float32)
+        out = np.zeros((len(n), emb.shape[1]), emb.dtype)
+        for lo in range(0, len(n), SUM_WORDS):  # the gathered rows take some hundred bytes a word and column
+            hi = min(lo + SUM_WORDS, len(n))
+            part = rows[begin[lo] : begin[hi]]
+            heads = begin[lo:hi] - begin[lo]
+            total, own = np.add.reduceat(emb[part], heads), emb[part[heads]]
+            out[lo:hi] = own + (total - own) / np.sqrt(np.maximum(n[lo:hi] - 1, 1))[:, None].astype(emb.dtype)
+        return out
 
 
 def _pick(rows: np.ndarray, begin: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +115,35 @@ def features(offsets: np.ndarray, data: np.ndarray) -> Block:
         keys.append((1 << WORD_BITS) + (tk.span_hash(prefix, i, i + n) >> U64(64 - GRAM_BITS)).astype(np.int32))
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return Block(word, first, np.concatenate(keys)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(at)))]))
+    return Block(word, first, np.concatenate(keys)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(at)))]), hashes)
+
+
+def gathered(texts: pa.Array) -> Block:
+    """All texts as one block, made in blocks of bounded size whose distinct words are put together."""
+    words, firsts, rows, sizes, known, at = [], [], [], [], np.zeros(0, U64), 0
+    place = np.zeros(0, np.int64)
+    for _, _, offsets, data in tk.blocks(texts):
+        b = features(offsets, data)
+        spot = np.minimum(np.searchsorted(known, b.hashes), max(len(known) - 1, 0))
+        fresh = known[spot] != b.hashes if len(known) else np.ones(len(b.hashes), bool)
+        slot = np.empty(len(b.hashes), np.int64)
+        slot[~fresh] = place[spot[~fresh]] if len(known) else 0
+        new = np.flatnonzero(fresh)
+        slot[new] = len(known) + np.arange(len(new))
+        part, ends = _pick(b.rows, b.begin, new)
+        rows.append(part)
+        sizes.append(np.diff(ends))
+        words.append(slot[b.word].astype(np.int32))
+        firsts.append(at + b.first[:-1])
+        at += len(b.word)
+        joined, numbers = np.concatenate([known, b.hashes[new]]), np.concatenate([place, slot[new]])
+        order = np.argsort(joined, kind="stable")
+        known, place = joined[order], numbers[order]
+    empty = np.zeros(0, np.int64)
+    begin = np.concatenate([[0], np.cumsum(np.concatenate([empty, *sizes]))])
+    names = np.empty(len(known), U64)
+    names[place] = known
+    return Block(np.concatenate([np.zeros(0, np.int32), *words]), np.append(np.concatenate([empty, *firsts]), at), np.concatenate([np.zeros(0, np.int32), *rows]), begin, names)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -379,8 +413,11 @@ def learn(docs: DataFrame, labels: DataFrame, train_on: Column, sample_docs: int
     y = np.array([r[0] for r in got])
     if len(np.unique(y)) < 2:
         return None
-    offsets = np.concatenate([[0], np.cumsum([len(r[1]) for r in got])])
-    return train(features(offsets, np.frombuffer(b"".join(r[1] for r in got), np.uint8)), y)
+    block = gathered(pa.array([r[1] for r in got], pa.binary()).cast(pa.large_binary()).view(pa.large_string()))
+    got.clear()
+    out = train(block, y)
+    tk.release()
+    return out
 
 
 def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
