@@ -109,7 +109,7 @@ def validate(indexed: DataFrame) -> list[str]:
 def _blocks(queries: DataFrame, query_id: str, query_text: str, tokeniser: str, stop_words: tuple[str, ...]):
     """Queries in blocks: ids, sorted terms of the block, and its table of terms by queries."""
     listed = queries.select(query_id, F.array_distinct(tokens(F.col(query_text), tokeniser, stop_words)).alias("terms")).orderBy(query_id).toArrow()
-    ids, own = listed.column(0).to_pylist(), listed.column(1).to_pylist()
+    ids, own = listed.column(0).combine_chunks(), listed.column(1).to_pylist()
     held, names = [], set()
 
     def block():
@@ -118,7 +118,7 @@ def _blocks(queries: DataFrame, query_id: str, query_text: str, tokeniser: str,
         table = np.zeros((len(terms), len(held)))
         for j, i in enumerate(held):
             table[[place[t] for t in own[i]], j] = 1.0
-        return [ids[i] for i in held], terms, table
+        return ids.take(pa.array(held, pa.int64())), terms, table
 
     for i, terms in enumerate(own):
         if held and len(names | set(terms)) * (len(held) + 1) > BLOCK_CELLS:
@@ -150,12 +150,12 @@ def _matched(indexed: DataFrame, terms: list[str]) -> DataFrame:
     return indexed.mapInArrow(run, "chunk_id long, allowed boolean, len int, numbers array<int>, tfs array<int>")
 
 
-def _local_best(rows: DataFrame, ids: list, weight: np.ndarray, table: np.ndarray, average: float, k: int, k1: float, b: float, kind: str) -> DataFrame:
+def _local_best(rows: DataFrame, ids: pa.Array, weight: np.ndarray, table: np.ndarray, average: float, k: int, k1: float, b: float, kind: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((ids, weight, table))
 
     def run(batches):
         names, idf_of, wanted = shared.value
-        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
+        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(len(names))]
         step = max(16, BLOCK_CELLS // len(idf_of))
         for batch in batches:
             chunk = batch.column(0).to_numpy(zero_copy_only=False)
@@ -179,7 +179,7 @@ def _local_best(rows: DataFrame, ids: list, weight: np.ndarray, table: np.ndarra
         sizes = [len(x[0]) for x in held]
         if sum(sizes):
             which = np.repeat(np.arange(len(names)), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(which)), pa.array(np.concatenate([x[1] for x in held])), pa.array(np.concatenate([x[0] for x in held]))], names=["query_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), pa.array(np.concatenate([x[1] for x in held])), pa.array(np.concatenate([x[0] for x in held]))], names=["query_id", "chunk_id", "score"])
 
     return rows.select("chunk_id", "len", "numbers", "tfs").mapInArrow(run, f"query_id {kind}, chunk_id long, score double")
 
@@ -246,11 +246,11 @@ def _with_allowed(batches):
             yield pa.RecordBatch.from_arrays([out.column(0), b.column(1), *out.columns[1:]], names=["chunk_id", "allowed", "len", "terms", "tfs"])
 
 
-def _with_terms(best: DataFrame, matched: DataFrame, ids: list, terms: list[str], table: np.ndarray, kind: str) -> DataFrame:
+def _with_terms(best: DataFrame, matched: DataFrame, ids: pa.Array, terms: list[str], table: np.ndarray, kind: str) -> DataFrame:
     """The best hits with the terms that they share with their query."""
     spark = best.sparkSession
     t, j = np.nonzero(table)
-    wanted = spark.createDataFrame(pa.table({"query_id": pa.array(ids).take(pa.array(j)), "number": pa.array(t.astype(np.int32)), "term": pa.array(terms, pa.string()).take(pa.array(t))})).withColumn("query_id", F.col("query_id").cast(kind))
+    wanted = spark.createDataFrame(pa.table({"query_id": ids.take(pa.array(j)), "number": pa.array(t.astype(np.int32)), "term": pa.array(terms, pa.string()).take(pa.array(t))})).withColumn("query_id", F.col("query_id").cast(kind))
     best = cut(best)
     shared = matched.select("chunk_id", "numbers").join(small_or_shuffled(best.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id", F.explode("numbers").alias("number"))
     named = best.join(shared, "chunk_id").join(F.broadcast(wanted), ["query_id", "number"])

@@ -41,7 +41,8 @@ def chunk_text(text: str | None, size: int, overlap: int = 0, sentences: bool =
     """(ordinal, text, start byte, end byte): chunks of at most size characters, blanks at their ends trimmed, blank ones left out."""
     _check(size, overlap)
     out, start, text = [], 0, text or ""
-    upto = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).astype(int) if text else [0]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    upto = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
     while start < len(text):
         stop = min(len(text), start + size)
         if sentences and stop < len(text):

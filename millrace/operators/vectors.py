@@ -118,7 +118,7 @@ def query_blocks(queries: DataFrame, query_id: str, vector: str, block_bytes: in
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
         rows = part.select(query_id, vector).orderBy(query_id).toArrow()
         if rows.num_rows:
-            yield rows.column(0).to_pylist(), _matrix(rows.column(1))
+            yield rows.column(0).combine_chunks(), _matrix(rows.column(1))
 
 
 def encoded(vectors: DataFrame, id_col: str = "chunk_id", vector_col: str = "embedding", metric: str = "dot", encoding: str = "f32") -> DataFrame:
@@ -198,7 +198,7 @@ def search(
 
         def local_best(batches, shared=shared):
             names, q, scale = shared.value
-            held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
+            held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(len(names))]
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -217,7 +217,7 @@ def search(
             sizes = [len(x[0]) for x in held]
             if sum(sizes):
                 which = np.repeat(np.arange(len(names)), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(which)), pa.array(np.concatenate([x[1] for x in held])), pa.array(np.concatenate([x[0] for x in held]))], names=["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), pa.array(np.concatenate([x[1] for x in held])), pa.array(np.concatenate([x[0] for x in held]))], names=["query_id", "chunk_id", "score"])
 
         part = rows.mapInArrow(local_best, f"query_id {kind}, chunk_id long, score double")
         found = part if found is None else found.unionByName(part)

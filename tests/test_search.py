@@ -24,7 +24,7 @@ def oracle(m, q, k):
 def test_dot_topk_with_ties(spark, space):
     df, m = space
     m = m.astype(float)
-    q = spark.createDataFrame([(1, [float(x) for x in m[3]]), (2, [0.0] * 5)], "query_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [float(x) for x in m[3]]), (2, [0.0] * 5)], "query_id int, embedding array<float>")
     got = vectors.search(df, q, 6, block_bytes=40).orderBy("query_id", "rank").collect()
     assert [(r.chunk_id, round(r.score, 6)) for r in got if r.query_id == 1] == oracle(m, m[3], 6)
     assert [r.chunk_id for r in got if r.query_id == 2] == [0, 1, 2, 3, 4, 5]
@@ -97,6 +97,25 @@ def test_bm25(spark, texts):
     assert {r.query_id for r in got} == {1, 4}
 
 
+def test_bm25_in_blocks_and_from_a_stored_index(spark, texts, monkeypatch):
+    rows = [(1, "Red fox fox"), (2, "dog sleeps"), (3, "it's a fox"), (4, "10.5 red-ish and"), (5, None), (6, "and the dog")]
+    q = spark.createDataFrame(rows, "query_id int, text string")
+    key = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9), r.matched_terms) for r in df.collect())
+    whole = key(keyword.search(texts, q, 3))
+    for i, t in rows[:4]:
+        want = brute(t, [*DOCS, None])
+        got = {c: s for j, _, c, s, _ in key(keyword.search(texts, q, 10)) if j == i}
+        assert got == {c: round(s, 9) for c, s in want.items()}
+    monkeypatch.setattr(keyword, "BLOCK_CELLS", 5)
+    assert key(keyword.search(texts, q, 3)) == whole
+    stored = keyword.index(texts.repartition(2))
+    assert keyword.validate(stored) == [] and key(keyword.search(None, q, 3, indexed=stored)) == whole
+    dog = texts["text"].contains("dog")
+    assert key(keyword.search(texts, q, 3, where=dog, indexed=stored)) == key(keyword.search(texts, q, 3, where=dog)) != whole
+    assert keyword.search(texts, q, 0).count() == 0 == keyword.search(texts.limit(0), q, 3).count()
+    assert keyword.validate(stored.unionByName(stored.limit(1))) == ["chunk ids are distinct"]
+
+
 def test_statistics_ignore_filter_and_scope(spark, texts):
     q = spark.createDataFrame([(1, "fox")], "query_id long, text string")
     whole = {r.chunk_id: r.score for r in keyword.search(texts, q, 10).collect()}
