@@ -140,7 +140,7 @@ class TraversalStep:
 
 @dataclass(frozen=True)
 class TraversalLimits:
-    """Defaults and hard caps of a traversal. Fixed values."""
+    """Defaults and hard caps of a traversal."""
 
     max_hops: int = 8
     max_visited: int = 100_000

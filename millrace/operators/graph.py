@@ -206,7 +206,7 @@ def seeds_by_id(nodes: DataFrame, ids: list[str]) -> DataFrame:
     return found
 
 
-#: Bytes that the limit counts for a queued state and for each edge of its path. Fixed values.
+#: Bytes that the limit counts for a queued state and for each edge of its path.
 STATE_BYTES, PATH_EDGE_BYTES = 48, 4
 #: Frontier rows up to which a generation is broadcast to the edges.
 FRONTIER_ROWS = 200_000

@@ -87,15 +87,19 @@ def synthetic_vectors(spark: SparkSession, n: int, width: int, seed: int = 1) ->
     return spark.range(n).select("id", raw.alias("r")).select(F.col("id").alias("chunk_id"), F.transform("r", lambda x: (x / norm).cast("float")).alias("embedding"))
 
 
+#: Steps to the records that a record refers to, and the step that every fifth record lacks.
+LINK_STEPS, LAST_STEP = (1, 7, 13, 13), 3
+
+
 def linked_records(spark: SparkSession, n: int) -> DataFrame:
     """record_id, refs: a deterministic graph workload in which every record refers to four or five others, one of them twice."""
     i = F.col("id")
     step = lambda k: ((i + k) % n).cast("string")
-    refs = F.concat(F.array(*[step(k) for k in (1, 7, 13, 13)]), F.when(i % 5 != 0, F.array(step(3))).otherwise(F.array().cast("array<string>")))
+    refs = F.concat(F.array(*[step(k) for k in LINK_STEPS]), F.when(i % 5 != 0, F.array(step(LAST_STEP))).otherwise(F.array().cast("array<string>")))
     return spark.range(n).select(i.cast("string").alias("record_id"), refs.alias("refs"))
 
 
-#: Columns of a question table. Fixed names.
+#: Columns of a question table.
 QUESTION_COLUMNS = ("answer", "context", "id", "level", "question", "supporting_facts", "type")
 
 
@@ -118,6 +122,7 @@ def read_questions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+#: Fields of an abstract.
 ABSTRACT = "id string, url string, title string, text array<string>, text_with_links array<string>, charoffset string, charoffset_with_links string"
 
 
@@ -151,7 +156,7 @@ def flatten_scenes(media: DataFrame, body: str = "body") -> DataFrame:
     return a.unionByName(b).filter(F.length("text") > 0)
 
 
-#: Tables of a closed collection and their schemas. Fixed names.
+#: Tables of a closed collection and their schemas.
 COLLECTION = {
     "records": "record_id string, record_type string, content string, fields string",
     "queries": "query_id string, text string, tasks array<string>",
