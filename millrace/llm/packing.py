@@ -38,7 +38,7 @@ from millrace.session import cut
 #: Parts of words a worker remembers, across its tasks, before it starts afresh (about 40 bytes each).
 CACHE_WORDS = 500_000
 #: Bytes of text tokenised together; larger blocks repeat more words.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Plan rows up to which the plan is broadcast (40 bytes each).
 PLAN_ROWS = 500_000
 
@@ -187,14 +187,11 @@ class WordTokens:
         return ids, upto[np.searchsorted(starts, offsets)]
 
 
-_held: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    """The worker's own tokenizer and memory for a file."""
-    if path not in _held:
-        _held[path] = WordTokens(path)
-    return _held[path]
+    """The worker's own tokenizer and memory for a file, kept while its tasks tokenise."""
+    if path not in tk.kept:
+        tk.kept[path] = WordTokens(path)
+    return tk.kept[path]
 
 
 def tokenise(docs: DataFrame, capacity: int, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -221,7 +218,7 @@ def tokenise(docs: DataFrame, capacity: int, path: str, end_id: int, id_col: str
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(rows)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(tk.tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(tk.tidy(run, keeps=path), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 #: Steps in which the residual of a dimension is scored where it cannot refuse a piece.

@@ -51,6 +51,8 @@ LENGTH = 400
 GRAM = 128
 #: Occurrences of one k-gram from which its anchors are dealt by the bytes behind it as well.
 HOT = 2000
+#: Bytes of contexts that a merge takes on, on average, beyond the least number of parts.
+PART_BYTES = 32_000_000
 #: Memory of a run before it is sorted and sent on.
 RUN_BYTES = 32_000_000
 
@@ -455,6 +457,8 @@ def find_repeats(texts: DataFrame, length: int, gram: int, parts: int) -> DataFr
     some = texts.join(wanted, _same(texts, wanted), "left_semi")
     anchored = some.join(spots, _same(some, spots)).select(some["_id"], some["_h"], "_text", "spots")
     kind = texts.schema["_id"].dataType.simpleString()
+    n = spots.agg(F.sum(F.size("spots"))).first()[0] or 0
+    parts = max(parts, n * 2 * length // PART_BYTES)
     return _merge(_runs(anchored, parts, length).repartition(parts, "part").sortWithinPartitions("part"), kind, length)
 
 

@@ -1,6 +1,6 @@
 """Text as byte arrays: Arrow batches in, numpy spans and hashes out.
 
-Batches are walked in blocks of whole documents of about a megabyte, so the
+Batches are walked in blocks of whole documents of about a quarter of a megabyte, so the
 temporaries stay in cache and memory is bounded by the block or by the longest
 single text, never by the batch.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 U64 = np.uint64
 
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -36,10 +36,24 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def tidy(run):
-    """run, an iterator over batches, with its memory released at the end of the task."""
+#: What a worker keeps from task to task, by name; tasks of another kind drop it.
+kept: dict[str, object] = {}
+
+
+def forget(keeps: str | None = None) -> None:
+    """Drops what tasks of other kinds have kept; a function of the module, as a worker has one of each but many closures."""
+    others = [name for name in kept if name != keeps]
+    for name in others:
+        del kept[name]
+    if others:
+        release()
+
+
+def tidy(run, keeps: str | None = None):
+    """run, an iterator over batches, with its memory released at the end of the task, and at its start what other kinds of tasks have kept."""
 
     def wrapped(batches):
+        forget(keeps)
         try:
             yield from run(batches)
         finally:

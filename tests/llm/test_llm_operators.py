@@ -129,6 +129,23 @@ def test_ngram_join_of_a_dense_group(spark, monkeypatch, n, percent):
     assert 1 < len(set(root.values())) < 80
 
 
+@pytest.mark.parametrize("rows,hub", [(10**6, 10**4), (0, 3), (0, 10**4)])
+def test_components_with_hubs(spark, monkeypatch, rows, hub):
+    from millrace.llm import components
+
+    monkeypatch.setattr(components, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(components, "HUB_LINKS", hub)
+    rng = random.Random(hub + rows)
+    links = [(0, i) for i in range(1, 30)] + [(90, i) for i in range(60, 80)] + [(i, i + 1) for i in range(30, 50)] + [(rng.randrange(100, 140), rng.randrange(100, 140)) for _ in range(25)] + [(29, 61), (7, 7)]
+    root = {i: i for pair in links for i in pair if pair[0] != pair[1]}
+    for _ in root:
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame([p for p in links for _ in range(2)], "a long, b long")
+    assert {r.node: r.label for r in components.components(df, "a", "b").collect()} == root
+
+
 def test_ngram_join_of_nothing(nothing):
     assert ngram_join.similar_groups(nothing).count() == 0 == ngram_join.keep_one(nothing).count()
 
@@ -258,6 +275,21 @@ def test_plan_holds_every_constraint(rule, documents, attention):
             at += length
 
 
+def test_workers_drop_what_other_tasks_kept(spark):
+    import pyarrow as pa
+
+    def kept_after(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([",".join(sorted(tk.kept))] * b.num_rows)], names=["id", "kept"])
+
+    df = spark.range(40).repartition(4)
+    docs = df.selectExpr("id AS doc_id", "'some words' AS text")
+    path = packing.tokenizer_path()
+    assert packing.tokenise(docs, 64, path, 1, "doc_id", "text").count() == 40
+    told = lambda keeps: {r.kept for r in df.mapInArrow(tk.tidy(kept_after, keeps), "id long, kept string").collect()}
+    assert told(path) <= {"", path} and told(None) == {""}
+
+
 def test_words_split_like_the_tokenizer():
     import pyarrow as pa
     from tokenizers import Tokenizer
@@ -435,6 +467,47 @@ def test_decontamination(spark, docs):
     assert decontaminate.keep_clean(df, bench.limit(0)).count() == len(texts)
 
 
+def test_decontamination_recall_on_edited_items(spark):
+    """Items of 24 to 45 words inside other prose: copied, with a word put in, left out or changed, and with other numbers and names."""
+    rng = random.Random(21)
+    people, places = ["Alice", "Boris", "Chen", "Dora", "Emil"], ["Boston", "Kyoto", "Lima", "Oslo"]
+
+    def item(who, where, n):
+        body = prose(rng, rng.randrange(16, 37)).split()
+        for at, w in ((3, who), (7, f"{n} km"), (11, where), (14, str(n * 3))):
+            body.insert(at, w)
+        return body
+
+    def edit(words, kind):
+        words = list(words)
+        at = rng.randrange(2, len(words) - 2)
+        if kind == "put in":
+            words.insert(at, "really")
+        elif kind == "left out":
+            del words[at]
+        elif kind == "changed":
+            words[at] = "other"
+        elif kind == "re-parameterised":
+            names = {w: rng.choice([x for x in people + places if x != w]) for w in people + places if w in words}
+            while len(set(names.values())) < len(names):
+                names = {w: rng.choice([x for x in people + places if x != w]) for w in names}
+            values = {w: str(rng.randrange(1000, 9999)) for w in words if w.isdigit()}
+            words = [names.get(w, values.get(w, w)) for w in words]
+        return words
+
+    items = [item(rng.choice(people), rng.choice(places), rng.randrange(10, 90)) for _ in range(40)]
+    items = [" ".join(x).split() for x in items]
+    kinds = ["copied", "put in", "left out", "changed", "re-parameterised"]
+    rows = [(len(items) * k + i, " ".join(prose(rng, 30).split() + edit(x, kind) + prose(rng, 30).split())) for k, kind in enumerate(kinds) for i, x in enumerate(items)]
+    rows += [(1000 + i, prose(rng, 120)) for i in range(100)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r.leak_items for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    for k, kind in enumerate(kinds):
+        found = sum(i in got[len(items) * k + i] for i in range(len(items)))
+        assert found >= (1.0 if kind == "copied" else 0.9) * len(items), (kind, found)
+    assert not any(got[1000 + i] for i in range(100))
+
+
 def _judged(items, text):
     import pyarrow as pa
 
@@ -696,7 +769,12 @@ def test_toxicity_forward_word_by_word():
         assert got == pytest.approx(share @ both @ p["wo"] + p["bo"][0], rel=1e-5, abs=1e-6)
 
 
-def test_toxicity_features_are_words_and_their_parts():
+def _raw(texts):
+    parts = [t.encode() for t in texts]
+    return np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.frombuffer(b"".join(parts), np.uint8)
+
+
+def test_toxicity_features_are_words_and_their_parts(monkeypatch):
     raw = "Ab, abc ab! \u00fcber".encode()
     offsets, data = np.array([0, len(raw), len(raw)]), np.frombuffer(raw, np.uint8)
     b = toxicity.features(offsets, data)
@@ -709,6 +787,15 @@ def test_toxicity_features_are_words_and_their_parts():
         rows = b.rows[b.begin[w] : b.begin[w + 1]]
         assert b.sums(emb)[w] == pytest.approx(emb[rows[0]] + emb[rows[1:]].sum(0) / np.sqrt(max(len(rows) - 1, 1)), abs=1e-5)
     assert toxicity.spread_words(offsets, data, 100) == [raw, b""]
+    import pyarrow as pa
+
+    texts = [prose(random.Random(i), 50) for i in range(9)] + ["", "one"]
+    monkeypatch.setattr(tk, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(tk.blocks, "__defaults__", (700,))
+    whole, parts = toxicity.features(*_raw(texts)), toxicity.gathered(pa.array(texts))
+    assert parts.first.tolist() == whole.first.tolist() and len(parts.hashes) == len(set(parts.hashes.tolist())) == len(whole.hashes)
+    assert (parts.hashes[parts.word] == whole.hashes[whole.word]).all()
+    assert parts.sums(emb)[parts.word] == pytest.approx(whole.sums(emb)[whole.word], abs=1e-5)
     long = ("w " * 1000).encode()
     (part,) = toxicity.spread_words(np.array([0, len(long)]), np.frombuffer(long, np.uint8), 96)
     assert len(part.split()) == 96
