@@ -307,13 +307,13 @@ def _within_groups(members: DataFrame, labels: DataFrame, percent: int) -> DataF
     def run(batches):
         key, group = None, []
         for b in batches:
-            for *now, minor, cls, size, label, diff in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
+            for *now, minor, cls, size, label, diff in zip(*(b.column(k).to_pylist() for k in range(b.num_columns - 1)), b.column(b.num_columns - 1)):
                 if now != key:
                     found = connect(group) if group else None
                     if found is not None:
                         yield found
                     key, group = now, []
-                group.append((minor, cls, size, label, diff))
+                group.append((minor, cls, size, label, diff.as_buffer().to_pybytes()))
         found = connect(group) if group else None
         if found is not None:
             yield found
@@ -370,11 +370,18 @@ def _from_pivots(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _linked(sizes: np.ndarray, diffs: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """Whether each class of `left` is similar to each of `right`; both hold positions in sizes and diffs."""
     count = np.array([len(d) for d in diffs])
-    row = np.repeat(np.arange(len(diffs)), count)
-    _, column, seen = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
-    shared = np.cumsum(seen > 1) - 1  # an element of one difference is common to no pair
-    keep = seen[column] > 1
-    row, column = row[keep], shared[column[keep]]
+    # an element of one difference is common to no pair; only the others get a column, so that memory is little more than the elements'
+    values = np.concatenate(diffs)
+    values.sort()
+    shared = np.unique(values[1:][values[1:] == values[:-1]])
+    del values
+    rows, columns = [], []
+    for i, d in enumerate(diffs):
+        at = np.searchsorted(shared, d)
+        at = at[shared[np.minimum(at, max(len(shared) - 1, 0))] == d] if len(shared) else at[:0]
+        rows.append(np.full(len(at), i, np.int32))
+        columns.append(at.astype(np.int32))
+    row, column = np.concatenate(rows), np.concatenate(columns)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     common = np.zeros((len(left), len(right)), np.int64)
@@ -414,12 +421,12 @@ def _count_links(docs: DataFrame, members: DataFrame, n: int, percent: int) -> D
             return pa.RecordBatch.from_arrays([pa.array([g[1] for g in group], pa.binary()), pa.array(links.astype(np.int64))], names=["cls", "links"])
 
         for b in batches:
-            for *now, part, cls, size, diff in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
+            for *now, part, cls, size, diff in zip(*(b.column(k).to_pylist() for k in range(b.num_columns - 1)), b.column(b.num_columns - 1)):
                 if now != key:
                     if group:
                         yield flush()
                     key, group = now, []
-                group.append((part, cls, size, diff))
+                group.append((part, cls, size, diff.as_buffer().to_pybytes()))
         if group:
             yield flush()
 
