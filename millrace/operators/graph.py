@@ -229,12 +229,13 @@ def walk(edges: DataFrame, seeds: DataFrame, steps: list[TraversalStep], limits:
 
     A query stops where a limit does: at the result that fills max_results, or
     at the state that does not fit max_visited or max_bytes; states behind it in
-    the queue count no more. truncated names the limit (max_results only if the
+    the queue count no more; a limit of None stops nothing. truncated names the limit (max_results only if the
     queue still held states; max_hops if a walk could have gone on) or is null.
     A walk beyond `timeout` seconds, or after `cancelled()` says so, ends with an
     error between two generations.
     """
     limits.check(steps)
+    limits = limits.numbers()
     began = time.monotonic()
     last = len(steps)
     ways = sorted({(s.relationship, s.direction) for s in steps})
