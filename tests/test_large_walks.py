@@ -8,6 +8,7 @@ from millrace.plans import catalog
 #: One region and segment hold more than the 100,000 results and states that a limit can allow.
 MANY = 100_100
 QUERIES = [
+    "graph_truncation",
     "graph_traverse_optional",
     "graph_trace",
     "graph_scoped_vector",
