@@ -107,3 +107,11 @@ def test_formats(spark, tmp_path):
     runs = spark.createDataFrame([("q1", "d1", 1), ("q1", "d2", 2)], "query_id string, doc_id string, rank long")
     assert sorted(r.value for r in formats.run_lines(runs, 10, "me").collect()) == ["q1 Q0 d1 1 10 me", "q1 Q0 d2 2 9 me"]
     assert formats.synthetic_chunks(spark, 3).first().text == "note 0 on subject0 by team0, see entry0"
+
+
+def test_portable_seeds_keep_lengths(spark):
+    q = spark.createDataFrame([(1, "Er\u00dfie und enlich."), (2, None)], "question_id long, text string")
+    a = spark.createDataFrame([("er\u00dfie", "n1"), ("enlich", "n2")], "alias string, node string")
+    assert {r.question_id: (r.status, r.seed) for r in text.resolve_seeds(q, a, portable=True).collect()} == {1: ("resolved", "n2"), 2: ("no_match", None)}
+    folded = a.replace("er\u00dfie", "erssie", "alias")
+    assert {r.question_id: r.status for r in text.resolve_seeds(q, folded).collect()} == {1: "ambiguous", 2: "no_match"}
