@@ -13,9 +13,9 @@ score is the posterior of that language at a temperature, scaled by how usual
 the cross-entropy is for the language: texts whose value lies beyond the
 calibrated bound of held-in documents are rejected.
 
-Training may use a bounded sample: `sample_chars` is the expected number of
-characters learnt from each language, chosen by the hash of the id. Prediction
-covers all rows and whole texts.
+Training reads every text that may be learnt from, whole, for the counts and
+again for the bounds; what grows on the driver is the number of different
+n-grams. Prediction covers all rows and whole texts.
 
 Defined results: null text or one without letters gives `und` with score 0 and
 is rejected; null languages are not learnt from; languages tie by name; a
@@ -36,7 +36,6 @@ from pyspark.sql import types as T
 from millrace.llm import textkit as tk
 
 ORDER = 4
-SAMPLE_CHARS = 3_000_000
 TEMPERATURE = 0.05  # nats per character between languages that halve the score
 DISCOUNT = 0.75
 UNSEEN_SYMBOLS = 256  # characters assumed beyond the seen alphabet
@@ -107,40 +106,115 @@ def _crc_mod(doc_col: str, mod: int) -> Column:
     return F.crc32(F.col(doc_col).cast("string")) % mod
 
 
-def _counts(batches, langs: list[str], order: int):
-    index = {x: i for i, x in enumerate(langs)}
-    held: dict[tuple[int, int], list] = {}
+class _Tally:
+    """Counts of the longest n-gram that ends at each letter, by language, and the symbols of each.
 
-    def reduce(parts):
-        keys, counts, prevs, syms = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    Most n-grams of a block are met in a table of fixed slots; those whose slot
+    holds another one are gathered and merged by sorting.
+    """
+
+    SLOTS = 19  # bits
+    PENDING = 1 << 18  # n-grams that wait to be added up or merged
+
+    def __init__(self, order: int):
+        self.order = order
+        self.used = np.zeros(1 << self.SLOTS, bool)
+        self.keys = np.zeros(1 << self.SLOTS, U64)
+        self.counts = np.zeros(1 << self.SLOTS, np.int64)
+        self.lang = np.zeros(1 << self.SLOTS, np.int32)
+        self.syms = np.zeros((1 << self.SLOTS, order), np.uint32)
+        self.hits: list[np.ndarray] = []
+        self.rest: list[tuple] = []
+        self.n_hits = self.n_rest = 0
+
+    def add(self, sym: np.ndarray, grams: list[np.ndarray], place: np.ndarray, owner: np.ndarray) -> None:
+        at = np.flatnonzero((owner >= 0) & (place >= 1))
+        size = np.minimum(place[at] + 1, self.order)
+        key = np.empty(len(at), U64)
+        for n in range(2, self.order + 1):
+            mine = size == n
+            key[mine] = grams[n - 1][at[mine]]
+        if self.order == 1:
+            key = grams[0][at]
+        key = tk.mix(key + owner[at].astype(U64) * U64(self.order + 1) + size.astype(U64))
+        slot = (key >> U64(64 - self.SLOTS)).astype(np.int64)
+        new = np.flatnonzero(~self.used[slot])
+        if len(new):
+            _, first = np.unique(slot[new], return_index=True)
+            new = new[first]
+            to = slot[new]
+            self.used[to], self.keys[to], self.lang[to], self.syms[to] = True, key[new], owner[at[new]], self._symbols(sym, at[new], size[new])
+        hit = self.keys[slot] == key
+        self.hits.append(slot[hit].astype(np.int32))
+        self.n_hits += len(self.hits[-1])
+        if self.n_hits > self.PENDING:
+            self._settle()
+        missed = np.flatnonzero(~hit)
+        if len(missed):
+            keys, first, counts = np.unique(key[missed], return_index=True, return_counts=True)
+            missed = missed[first]
+            self.rest.append((keys, counts, owner[at[missed]].astype(np.int32), self._symbols(sym, at[missed], size[missed])))
+            self.n_rest += len(keys)
+            if self.n_rest > max(self.PENDING, len(self.rest[0][0])):
+                self._merge()
+
+    def _symbols(self, sym: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The symbols of the n-grams that end at the places, newest first; 0, which is no symbol, beyond the size of each."""
+        back = np.arange(self.order)
+        return np.where(back < size[:, None], sym[np.maximum(at[:, None] - back, 0)], 0).astype(np.uint32)
+
+    def _settle(self) -> None:
+        if self.hits:
+            self.counts += np.bincount(np.concatenate(self.hits), minlength=len(self.counts))
+        self.hits, self.n_hits = [], 0
+
+    def _merge(self) -> None:
+        keys, counts, lang, syms = (np.concatenate([p[i] for p in self.rest]) for i in range(4))
         keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64), prevs[first], syms[first]
+        self.rest = [(keys, np.bincount(inverse, counts, len(keys)).astype(np.int64), lang[first], syms[first])]
+        self.n_rest = 0
+
+    def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts, language and symbols of every n-gram met."""
+        self._settle()
+        parts = [(self.counts[self.used], self.lang[self.used], self.syms[self.used])]
+        if self.rest:
+            self._merge()
+            parts.append(self.rest[0][1:])
+        return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
+
+def _counts(batches, langs: list[str], order: int):
+    """Counts of the n-grams of all orders: each is the end of the longest ones that it closes."""
+    index = {x: i for i, x in enumerate(langs)}
+    tally = _Tally(order)
     for batch in batches:
         langs_here = np.array([index.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
         for lo, hi, offsets, data in tk.blocks(batch.column(0)):
             sym, begin = symbols(offsets, data)
-            grams = gram_hashes(sym, order)
             sizes = np.diff(np.append(begin, len(sym)))
             place = np.arange(len(sym)) - np.repeat(begin, sizes)
             owner = np.repeat(np.append(langs_here[lo:hi], -1), sizes)
-            for lang in np.unique(owner[owner >= 0]):
-                for n in range(1, order + 1):
-                    ok = (owner == lang) & (place >= max(n - 1, 1))
-                    keys, first, counts = np.unique(grams[n - 1][ok], return_index=True, return_counts=True)
-                    at = np.flatnonzero(ok)[first]
-                    # context hash: the same n-gram without its newest symbol ends one place earlier
-                    prev = grams[n - 2][at - 1] if n > 1 else np.zeros(len(at), U64)
-                    parts = held.setdefault((int(lang), n), [])
-                    parts.append((keys, counts, prev, (grams[n - 2][at] if n > 1 else np.zeros(len(at), U64))))
-                    if len(parts) > 64:
-                        held[int(lang), n] = [reduce(parts)]
-    for (lang, n), parts in held.items():
-        keys, counts, prev, lower = reduce(parts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(keys), lang, np.int32)), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(prev.view(np.int64)), pa.array(lower.view(np.int64)), pa.array(counts)],
-            names=["lang", "n", "gram", "context", "lower", "count"],
-        )
+            tally.add(sym, gram_hashes(sym, order), place, owner)
+    counts, lang, syms = tally.longest()
+    # hash of the n symbols that end at the newest one, and at the one before it
+    hashes = gram_hashes(syms[:, ::-1].reshape(-1), order)
+    grams, before = [h[order - 1 :: order] for h in hashes], [h[max(order - 2, 0) :: order] for h in hashes]
+    none = np.zeros(len(counts), U64)
+    for li in range(len(langs)):
+        for n in range(1, order + 1):
+            ok = np.flatnonzero((lang == li) & (syms[:, n - 1] > 0))
+            keys, first, inverse = np.unique(grams[n - 1][ok], return_index=True, return_inverse=True)
+            if not len(keys):
+                continue
+            at = ok[first]
+            # context: the same n-gram without its newest symbol; lower: without its oldest
+            context, lower = (before[n - 2][at], grams[n - 2][at]) if n > 1 else (none[at], none[at])
+            total = np.bincount(inverse, counts[ok], len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), li, np.int32)), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(context.view(np.int64)), pa.array(lower.view(np.int64)), pa.array(total)],
+                names=["lang", "n", "gram", "context", "lower", "count"],
+            )
 
 
 @dataclass
@@ -306,28 +380,22 @@ def predict(h: np.ndarray, letters: np.ndarray, m: Model) -> tuple[np.ndarray, n
     return np.where(none, -1, best), np.where(none, 0.0, share * (0.5 + 0.5 * fit)), rejected
 
 
-def learn(docs: DataFrame, train: Column, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fits on rows where `train` holds and the language is known."""
+def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> Model:
+    """Fits on all rows where `train` holds and the language is known."""
     spark = docs.sparkSession
-    known = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = known.groupBy(lang_col).agg(F.sum(F.length(text_col)).alias("n")).orderBy(lang_col).collect()
-    langs = [r[0] for r in sizes]
+    known = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    langs = sorted(r[0] for r in known.select("l").distinct().collect())
     if not langs:
         return Model([], order, [np.zeros(0, U64)] * order, [np.zeros((0, 0), np.float32)] * order, [np.zeros((0, 0), np.float32)] * (order - 1), np.zeros(0), np.zeros(0), np.zeros(0))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang_col) == r[0], F.lit(min(1.0, sample_chars / max(1, r[1])))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(doc_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(draw < share).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    partial = sample.mapInArrow(tk.tidy(lambda it: _counts(it, langs, order)), "lang int, n int, gram bigint, context bigint, lower bigint, count bigint")
+    partial = known.mapInArrow(tk.tidy(lambda it: _counts(it, langs, order)), "lang int, n int, gram bigint, context bigint, lower bigint, count bigint")
     merged = partial.groupBy("lang", "n", "gram").agg(F.min("context").alias("context"), F.min("lower").alias("lower"), F.sum("count").alias("count"))
-    got = merged.toArrow()  # bounded: at most order * len(langs) * sample_chars entries, far fewer in practice
+    got = merged.toArrow()  # a row for each different n-gram of a language
     rows = np.zeros(got.num_rows, dtype=[("lang", np.int32), ("n", np.int32), ("gram", U64), ("context", U64), ("lower", U64), ("count", np.int64)])
     for name in rows.dtype.names:
         v = got.column(name).to_numpy()
         rows[name] = v.view(U64) if name in ("gram", "context", "lower") else v
     model = fit_model(rows, langs, order)
-    # calibration on the sample: mean and spread of each language's cross-entropy on its own texts
+    # calibration on the same texts: mean and spread of each language's cross-entropy on its own texts
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -343,7 +411,7 @@ def learn(docs: DataFrame, train: Column, doc_col: str = "doc_id", text_col: str
                     acc[:, k] += np.bincount(own[lo:hi][ok], v[ok], len(langs))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(langs), dtype=np.int32)), *(pa.array(acc[:, k]) for k in range(3))], names=["lang", "n", "s", "q"])
 
-    stats = sample.mapInArrow(tk.tidy(measure), "lang int, n double, s double, q double").groupBy("lang").agg(F.sum("n"), F.sum("s"), F.sum("q")).collect()
+    stats = known.mapInArrow(tk.tidy(measure), "lang int, n double, s double, q double").groupBy("lang").agg(F.sum("n"), F.sum("s"), F.sum("q")).collect()
     for lang, n, s, q in stats:
         if n:
             mean = s / n

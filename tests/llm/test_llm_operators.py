@@ -652,6 +652,39 @@ def test_language_id_on_held_out_texts(spark, docs, nothing):
     assert {r.lang_pred for r in langid.identify(docs, unknown).collect()} == {"und"}
 
 
+def test_language_id_learns_from_all_texts(spark):
+    """Four million characters of a language, each text with a letter of its own: the model knows them all."""
+    own = [chr(0x4E00 + i) for i in range(40)]
+    rows = [(i, f"{c} " + "ba ko mi tu " * 8400, "aa") for i, c in enumerate(own)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), langid.F.lit(True))
+    sym, _ = langid.symbols(np.array([0, 3 * len(own)]), np.frombuffer("".join(own).encode(), np.uint8))
+    assert np.isin(langid.gram_hashes(sym[1:-1], 1)[0], model.keys[0]).all()
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_gram_counts_by_dictionaries(monkeypatch, order):
+    """Counts of all orders against plain ones, with a table so small that most n-grams are merged by sorting."""
+    monkeypatch.setattr(langid._Tally, "SLOTS", 4)
+    monkeypatch.setattr(langid._Tally, "PENDING", 50)
+    rng = random.Random(3)
+    texts = [("".join(rng.choice("abcdeé ") for _ in range(rng.randrange(0, 90))), rng.choice("xyz")) for _ in range(200)]
+    langs, want = ["x", "y"], Counter()
+    for t, k in texts:
+        s = " " + " ".join(t.split()) + " " * t.endswith(" ")
+        s = " " + s.lstrip() if s.strip() else " "
+        if k in langs:
+            want.update((langs.index(k), n, s[i - n + 1 : i + 1]) for n in range(1, order + 1) for i in range(max(n - 1, 1), len(s)))
+    code = lambda g: int(langid.gram_hashes(np.array([ord(c) if c != " " else langid.BOUNDARY for c in g], np.uint32), len(g))[-1][-1])
+    batches = [langid.pa.RecordBatch.from_arrays([langid.pa.array([t for t, _ in texts[i : i + 20]]), langid.pa.array([k for _, k in texts[i : i + 20]])], names=["t", "l"]) for i in range(0, 200, 20)]
+    got, links = Counter(), {}
+    for b in langid._counts(iter(batches), langs, order):
+        for lang, n, gram, context, lower, count in zip(*(c.to_pylist() for c in b.columns)):
+            got[lang, n, gram % 2**64] += count
+            links[n, gram % 2**64] = context % 2**64, lower % 2**64
+    assert got == {(k, n, code(g)): c for (k, n, g), c in want.items()}
+    assert all(links[n, code(g)] == ((code(g[:-1]), code(g[1:])) if n > 1 else (0, 0)) for _, n, g in want)
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_kneser_ney_by_dictionaries(spark, order):
     """Interpolated Kneser-Ney from plain counts of strings, against cross-entropies of the sorted arrays."""
